@@ -6,8 +6,8 @@ Fourier transforms and pairs spectral peaks into a time-coded fingerprint.
 
 Defined results: a null text is an empty text; an empty text is 64 zero bytes;
 one row out for each row in, whatever its id (null and repeated ids included);
-equal payloads get equal stored bytes and fingerprints.  A payload of one value
-throughout has no peaks, so its fingerprint is an empty array.  Texts of any
+equal payloads get equal stored bytes and fingerprints.  Whole frames of one
+value have no peaks, so their fingerprint is an empty array.  Texts of any
 length are transformed in blocks of frames, so memory is bounded by the payload
 itself.
 """
