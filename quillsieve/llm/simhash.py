@@ -202,7 +202,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, label): the least node (as a signed long) of each linked node's component.
+    """(node, label): the least node (as a signed long) of each linked node's component, that one left out.
 
     Alternates large-star and small-star steps, each a shuffle by node, until the
     links no longer change; every round's links are a written table.

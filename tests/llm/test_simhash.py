@@ -69,8 +69,8 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, run):
     assert all((a ^ b).bit_count() <= 2 for a, b in rows)
     got = {r.node & (2**64 - 1): r.label for r in simhash.components(links).collect()}
     mine = {}
-    for x in fps:
-        mine.setdefault(got.get(x, ("own", x)), set()).add(x)
+    for x, own in zip(fps, signed, strict=True):
+        mine.setdefault(got.get(x, own), set()).add(x)  # a component's least node is its label
     want = {}
     for x, g in zip(fps, groups(list(range(len(fps))), fps), strict=True):
         want.setdefault(g, set()).add(x)
