@@ -15,7 +15,7 @@ def number_text(c: Column) -> Column:
     """A double with up to 15 significant digits, whole numbers without a point."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
     digits = F.regexp_replace(F.format_string("%.15g", c), r"(\.[0-9]*?)0+(e|\z)", "$1$2")
-    return F.when(whole, c.cast("long").cast("string")).otherwise(F.regexp_replace(digits, r"\.(e|\z)", "$1"))
+    return F.when(whole, c.cast("long").cast("string")).when(c.isNotNull(), F.regexp_replace(digits, r"\.(e|\z)", "$1"))
 
 
 def as_text(df: DataFrame) -> DataFrame:
