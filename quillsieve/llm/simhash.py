@@ -123,25 +123,23 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(f.view(np.int64))], ["key", "fp"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links of sorted (key, fp) rows; rows of hot keys go out with the key instead.
+def _links(most: int):
+    """Verified links of sorted (key, fp) rows; rows of keys with over ``most`` rows go out with the key instead.
 
-    Out: (key, a, b); key null: a link a < b by rank in the run; else b is null and a is
-    a fingerprint of that hot key.  A run that crosses batches is carried over, RUN rows at most.
+    Out: (key, a, b); key null: a link of two fingerprints; else b is null and a is
+    a fingerprint of that hot key.  A run that crosses batches is carried over, ``most`` rows of it at most.
     """
 
     def emit(keys: np.ndarray, fps: np.ndarray, hot: np.uint64 | None) -> pa.RecordBatch | None:
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[edge, len(keys)])
         run = np.repeat(np.arange(len(edge)), size)
-        warm = (size > RUN)[run]
+        warm = (size > most)[run]
         if hot is not None and len(keys):
             warm |= keys == hot
         a, b = [], []
         cool = ~warm
-        for step in range(1, int(size.max(initial=1))):
-            if step >= RUN:
-                break
+        for step in range(1, min(most, int(size.max(initial=1)))):
             i = np.flatnonzero((run[step:] == run[:-step]) & cool[step:])
             if not len(i):
                 break
@@ -156,23 +154,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = pa.concat_arrays([pa.array(b), pa.nulls(len(hk), pa.int64())])
         return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([a, hf])), other], ["key", "a", "b"])
 
-    keys, fps, hot = np.empty(0, np.uint64), np.empty(0, np.uint64), None
-    for batch in batches:
-        keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)])
-        fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
-        if len(keys) - last > RUN or keys[-1] == hot:  # the open run is hot already
-            now_hot, cut = keys[-1], len(keys)
-        else:
-            now_hot, cut = None, last
-        if cut and (out := emit(keys[:cut], fps[:cut], hot)) is not None:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, hot = np.empty(0, np.uint64), np.empty(0, np.uint64), None
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)])
+            fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+            if not len(keys):
+                continue
+            last = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
+            open_hot = len(keys) - last > most or keys[-1] == hot
+            cut = len(keys) if open_hot else last
+            if cut and (out := emit(keys[:cut], fps[:cut], hot)) is not None:
+                yield out
+            hot = keys[-1] if open_hot else None
+            keys, fps = keys[cut:], fps[cut:]
+        if len(keys) and (out := emit(keys, fps, hot)) is not None:
             yield out
-        hot = now_hot if now_hot is not None else (hot if cut < len(keys) and keys[-1] == hot else None)
-        keys, fps = keys[cut:], fps[cut:]
-    if len(keys) and (out := emit(keys, fps, hot)) is not None:
-        yield out
+
+    return scan
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +182,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(k[:, 1]).view(np.int64)), pa.array(f.view(np.int64))], ["k1", "k2", "fp"])
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, most: int = RUN) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within the distance of each other.
 
     Every variant with few rows yields all its verified pairs; a hot one a star
@@ -191,7 +190,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """
     bound_arrow(fps.sparkSession)
     rows = fps.select("fp").distinct().mapInArrow(_variant_rows, "key long, fp long")
-    found = scratch(rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_links, "key long, a long, b long").distinct(), "simhash-links")
+    found = scratch(rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(_links(most), "key long, a long, b long").distinct(), "simhash-links")
     cool = found.filter(F.col("key").isNull()).select("a", "b")
     fine = found.filter(F.col("key").isNotNull()).mapInArrow(_signature_rows, "k1 long, k2 long, fp long")
     star = fine.groupBy("k1", "k2").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))

@@ -51,9 +51,8 @@ def test_fingerprints_and_components(make, odd, sample):
 
 
 @pytest.mark.parametrize("run", [2, 64])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, run):
+def test_links_connect_what_brute_force_connects(spark, run):
     """With small runs nearly every variant is hot, and the exact signatures must find all links."""
-    monkeypatch.setattr(simhash, "RUN", run)
     rng = random.Random(run)
     fps = {0, 2**64 - 1}
     for _ in range(12):
@@ -64,7 +63,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, run):
             fps.add(x)
     fps = sorted(fps)
     signed = [int(np.array(x, np.uint64).view(np.int64)) for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), run)
     rows = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in links.collect()]
     assert all((a ^ b).bit_count() <= 2 for a, b in rows)
     got = {r.node & (2**64 - 1): r.label for r in simhash.components(links).collect()}
