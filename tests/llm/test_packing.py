@@ -28,11 +28,17 @@ def test_ids_are_the_librarys(library, sample):
         assert mine.ids(text).tolist() == library(text), repr(text[:60])
 
 
-def test_small_cache_gives_the_same(library, sample, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 50)
-    mine = packing.Tokens(PATH)
-    for _, text, *_ in sample[:40]:
-        assert mine.ids(text).tolist() == library(text)
+def test_small_chunks_give_the_same(library, sample, monkeypatch):
+    for size in (7, 200):
+        monkeypatch.setattr(packing, "CHUNK", size)
+        mine = packing.Tokens(PATH)
+        for text in [*ODD, *[t for _, t, *_ in sample[:40]]]:
+            assert mine.ids(text).tolist() == library(text)
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 100_000 + "b", "x" * 60_000, "\n" * 40_000, "ab " * 40_000])
+def test_long_runs(library, text):
+    assert packing.Tokens(PATH).ids(text).tolist() == library(text)
 
 
 def check(rows, docs, library):
