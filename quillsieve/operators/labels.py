@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.derive import osa_similarity
+from ..shipping import ship
 
 TOO_LOW = "top match quality too low"
 CONCORDANT = "low discernment but top matches concordant"
@@ -20,6 +21,7 @@ def top_two(values: DataFrame, dictionary: DataFrame) -> DataFrame:
     Only distinct values are compared, and only aliases whose length alone allows
     a similarity over 0 reach the comparison.
     """
+    ship(values.sparkSession)
     pairs = values.distinct().join(F.broadcast(dictionary), F.length("value") * 1000000 >= F.length("alias"))
     scored = pairs.withColumn("sim", osa_similarity("value", "alias"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("value").orderBy(F.desc("sim"), "ord"))).filter("rank <= 2")
