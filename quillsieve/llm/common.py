@@ -18,6 +18,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space that separates words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Used only where the session names no folder of its own (tests, notebooks).
@@ -50,7 +52,11 @@ def scratch(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that very long texts never pile up in one batch."""
+    """Bound Arrow batches by bytes, so that very long texts never pile up in one batch.
+
+    Python workers follow, so they get the package as well.
+    """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
