@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import operator
 import uuid
 
@@ -48,7 +49,23 @@ def scratch(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables whose readers have all run."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def bound_arrow(spark: SparkSession) -> None:
