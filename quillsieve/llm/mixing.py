@@ -64,16 +64,21 @@ def length_weight(k: Column) -> Column:
     return F.lit(1.0) + k.cast("double") / 8.0
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """``docs`` under names __d0, __d1, ... with source, size, source_size, target, copies and taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, keep_text: bool = True) -> DataFrame:
+    """``docs`` under names __d0, __d1, ... with source, size, source_size, target, copies and taken.
+
+    Statistics are taken from a table of sizes without the texts; with
+    ``keep_text`` False the text column is left out of the result as well.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"__d{i}" for i in range(len(names))])
     at = lambda c: F.col(f"__d{names.index(c)}")
     size = F.regexp_count(F.coalesce(at(text_col), F.lit("")), F.lit("[^" + SPACE_CLASS[1:] + "+")).cast("long")
     base = inner.withColumn("size", size).withColumn("source", at(source_col)).withColumn("__u", unit_random(at(id_col))).withColumn("class", length_class(F.col("size")))
-    base = scratch(base, "mix-base")
+    lean = scratch(base.drop(f"__d{names.index(text_col)}"), "mix-sizes")
+    full = base if keep_text else lean
 
-    classes = scratch(base.groupBy("source", "class").agg(F.sum("size").cast("double").alias("class_size")), "mix-classes")
+    classes = scratch(lean.groupBy("source", "class").agg(F.sum("size").cast("double").alias("class_size")), "mix-classes")
     sources = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
     nth = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))  # one row a source
     sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(nth - 1, F.lit(len(weights))) + 1))
@@ -88,12 +93,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     p = F.when(F.col("class_size") > 0, F.col("share") / F.col("class_size")).otherwise(F.lit(0.0))
     odds = scratch(odds.select("source", "class", "source_size", "target", "whole", "rest", p.alias("p")), "mix-odds")
 
-    # rank: random odds over inclusion odds, mapped to 0..1
-    ranked = bounded_join(base, odds, ["source", "class"])
-    u, p = F.col("__u"), F.col("p")
-    rank = F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(1.0)).otherwise(u * (1 - p) / (u * (1 - p) + p * (1 - u)))
-    ranked = ranked.withColumn("__rank", rank).withColumn("__bucket", F.floor(F.col("__rank") * BUCKETS).cast("int"))
-    sums = ranked.groupBy("source", "__bucket").agg(F.sum("size").cast("double").alias("n"), F.first("rest").alias("rest"))
+    def ranks(rows: DataFrame) -> DataFrame:
+        """Random odds over inclusion odds, mapped to 0..1."""
+        u, p = F.col("__u"), F.col("p")
+        rank = F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(1.0)).otherwise(u * (1 - p) / (u * (1 - p) + p * (1 - u)))
+        out = bounded_join(rows, odds, ["source", "class"])
+        return out.withColumn("__rank", rank).withColumn("__bucket", F.floor(F.col("__rank") * BUCKETS).cast("int"))
+
+    sums = ranks(lean).groupBy("source", "__bucket").agg(F.sum("size").cast("double").alias("n"), F.first("rest").alias("rest"))
     order = W.partitionBy("source").orderBy("__bucket")
     upto = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))
     cuts = sums.withColumn("upto", upto).filter((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")))
@@ -101,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = scratch(cuts.select("source", "c.cut", "c.left"), "mix-cuts")
 
     # no cut: nothing is left to take, or (by rounding) all that is left
-    ranked = bounded_join(ranked, cuts, ["source"])
+    ranked = bounded_join(ranks(full), cuts, ["source"])
     whole_slices = ranked.filter(F.col("cut").isNull() | (F.col("__bucket") != F.col("cut")))
     taken_slice = F.when(F.col("cut").isNull(), (F.col("rest") > 0) & (F.col("p") > 0)).otherwise(F.col("__bucket") < F.col("cut"))
     border = ranked.filter(F.col("__bucket") == F.col("cut"))
@@ -110,14 +117,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     border = border.withColumn("__take", (2 * upto - F.col("size")) <= 2 * F.col("left"))
     both = whole_slices.withColumn("__take", taken_slice).unionByName(border)
     copies = (F.col("whole") + F.col("__take").cast("int")).cast("long")
-    return both.select(*inner.columns, "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    kept = [c for c in inner.columns if keep_text or c != f"__d{names.index(text_col)}"]
+    return both.select(*kept, "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken) for every document."""
     from .common import pick
 
-    out = mix(pick(docs, id=id_col, text=text_col, source=source_col).select("id", "text", "source"), "id", "text", "source")
+    out = mix(pick(docs, id=id_col, text=text_col, source=source_col).select("id", "text", "source"), "id", "text", "source", keep_text=False)
     return out.select(F.col("__d0").alias(id_col), "size", "source_size", "target", "taken", "copies")
 
 

@@ -99,7 +99,7 @@ def judge(measured: DataFrame, fences: DataFrame, lang_col: str = "lang", source
 
     A group without fences (none of its documents passes the base rule) has no kept rows anyway.
     """
-    df = bounded_join(measured, scratch(fences, "quality-fences"), [lang_col, source_col])
+    df = bounded_join(measured, scratch(fences, "quality-fences"), [lang_col, source_col])  # fences are small
     inside = F.lit(True)
     for k, c in ratios().items():
         inside = inside & c.between(F.col(f"{k}_low"), F.col(f"{k}_high"))
@@ -116,10 +116,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns.
+
+    Texts are measured twice rather than kept in a table between.
+    """
     names = docs.columns
     at = {c: f"__d{names.index(c)}" for c in (text_col, lang_col, source_col)}
     inner = docs.toDF(*[f"__d{i}" for i in range(len(names))])
-    measured = scratch(measure(inner, at[text_col]), "quality-measured")
+    measured = measure(inner, at[text_col])
     out = judge(measured, thresholds(measured, at[lang_col], at[source_col]), at[lang_col], at[source_col])
     return out.filter("kept").select(*[F.col(f"__d{i}") for i in range(len(names))]).toDF(*names)

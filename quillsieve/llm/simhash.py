@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, bounded_join, pick, scratch
+from .common import bound_arrow, bounded_join, discard, pick, scratch
 
 SEED = 42
 DISTANCE = 2
@@ -197,7 +197,9 @@ def near_links(fps: DataFrame, most: int = RUN) -> DataFrame:
     star = star.filter("a < z")
     # a signature's rows all link to its least fingerprint
     links = fine.join(star.select("k1", "k2", "a"), ["k1", "k2"]).filter("fp > a").select("a", F.col("fp").alias("b"))
-    return cool.unionByName(links).distinct()
+    out = scratch(cool.unionByName(links).distinct(), "simhash-pairs")
+    discard(found)
+    return out
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -227,7 +229,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("b", "a", "m")
         small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = scratch(tidy(small), "cc")
+        last, now = now, scratch(tidy(small), "cc")
+        discard(last)
         after = signature(now)
         if after == seen:
             break
@@ -241,23 +244,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id): the least id that links reach from each document."""
     fps = scratch(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = scratch(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    label = scratch(components(near_links(nodes)), "simhash-labels")
+    links = near_links(nodes)
+    label = components(links)
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # a component's least id; labels are few rows each after the fingerprints were made distinct
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     answer = scratch(named.join(least, "label").select("fp", "component_id"), "simhash-answer")
+    discard(nodes, links)
     return bounded_join(fps, answer, ["fp"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The documents with one of each group: the row with the group's least id, once.
 
-    Rows without an id are compared as well; a group of such rows alone keeps one.
+    Rows are told apart by id and text; of rows that agree in both, one stays.
+    Rows without an id come last in their group, so a group of such rows alone
+    keeps one.
     """
-    inner = docs.toDF(*[f"__d{i}" for i in range(len(docs.columns))])
-    at, text = (next(i for i, c in enumerate(docs.columns) if c == x) for x in (id_col, text_col))
-    inner = inner.withColumn("__row", F.monotonically_increasing_id())
-    inner = scratch(inner, "simhash-docs")
-    found = near_duplicates(inner.select(F.struct(F.col(f"__d{at}").isNull().alias("none"), F.col(f"__d{at}").alias("id"), F.col("__row").alias("row")).alias("doc_id"), F.col(f"__d{text}").alias("text")), width=width)
-    keep = found.filter(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row"))
-    return inner.join(keep, "__row", "left_semi").drop("__row").toDF(*docs.columns)
+    names = docs.columns
+    at, text = names.index(id_col), names.index(text_col)
+    own = lambda df: df.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"__d{text}"), F.lit(""))))
+    inner = own(docs.toDF(*[f"__d{i}" for i in range(len(names))]))
+    key = F.struct(F.col(f"__d{at}").isNull().alias("none"), F.col(f"__d{at}").alias("id"), F.col("__th").alias("th"))
+    found = near_duplicates(inner.select(key.alias("doc_id"), F.col(f"__d{text}").alias("text")), width=width)
+    keep = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    keep = scratch(keep.select(F.col("id.id").alias("__id"), F.col("id.th").alias("__kh"), "n"), "simhash-keep")
+    same = F.col(f"__d{at}").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kh"))
+    once = inner.join(keep.filter("n = 1"), same, "left_semi").select(*inner.columns[:-1])
+    # rows that repeat: one for each key, combined in each task before they meet
+    again = inner.join(keep.filter("n > 1"), same, "left_semi")
+    again = again.groupBy(f"__d{at}", "__th").agg(F.first(F.struct(*[f"__d{i}" for i in range(len(names))])).alias("r")).select("r.*")
+    return once.unionByName(again).toDF(*names)

@@ -10,7 +10,7 @@ def passage_docs(make, sample):
     own = lambda i: " ".join(f"own words {i} number{i}x{k}" for k in range(12))
     copy = " ".join(f"copied{k}" for k in range(80))
     more = [(i, f"{own(i)}\n{passage}", "en", "src1") for i in (7000, 7001)] + [(i, copy, "en", "src1") for i in (7002, 7003)]
-    return make([r for r in sample if r[0] is not None] + more)
+    return make(sample[:40] + more)
 
 
 def test_stages_are_what_run_applies(spark, tmp_path, make, sample):
@@ -28,6 +28,11 @@ def test_stages_are_what_run_applies(spark, tmp_path, make, sample):
         kept.append(now)
     want = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
     assert {r.doc_id for r in kept[0].collect()} == want
+    passage = " ".join(f"passage{k}" for k in range(55))
+    lines = {r.doc_id: r.text for r in kept[1].collect()}
+    assert {7000, 7001, 7002} <= want and 7003 in want
+    assert passage in lines[7000] and passage not in lines[7001] and "own words 7001" in lines[7001]
+    assert 7002 in lines and 7003 not in lines  # a copy has no line left of its own
     gone = {r.doc_id: r.removed_lines for r in linededup.dedup_report(kept[0]).collect()}
     for r in kept[1].collect():
         before = kept[0].filter(F.col("doc_id") == r.doc_id).first().text
@@ -39,22 +44,7 @@ def test_stages_are_what_run_applies(spark, tmp_path, make, sample):
     copies = {r.doc_id: r.copies for r in mixing.mix_report(kept[2]).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in kept[3].groupBy("doc_id").count().collect()} == copies
     whole = corpus_pipeline.run(spark, str(tmp_path))
-    cols = ["doc_id", "start", "length", "ids_crc32"]
     assert whole.groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect() == kept[4].groupBy("doc_id").agg(F.sum("length").alias("n")).orderBy("doc_id").collect()
-    assert set(cols) <= set(whole.columns)
-
-
-def test_planted_cases(spark, make, sample):
-    """Copies and repeated passages go, clean documents stay."""
-    docs = passage_docs(make, sample)
-    good = corpus_pipeline.STAGES[0][1](spark, docs, "")
-    ids = {r.doc_id for r in good.collect()}
-    assert {7000, 7001, 7002, 7003} <= ids
-    lines = {r.doc_id: r.text for r in corpus_pipeline.STAGES[1][1](spark, good, "").collect()}
-    passage = " ".join(f"passage{k}" for k in range(55))
-    assert passage in lines[7000] and passage not in lines[7001] and "own words 7001" in lines[7001]
-    left = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, good, "").collect()}
-    assert 7002 in left and 7003 not in left
 
 
 def test_odd_rows(spark, make, odd):
@@ -62,7 +52,3 @@ def test_odd_rows(spark, make, odd):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     now.count()
-    now = make([])
-    for _, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, "")
-    assert now.count() == 0
