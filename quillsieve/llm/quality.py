@@ -118,11 +118,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that pass, with all their columns.
 
-    Texts are measured twice rather than kept in a table between.
+    Texts are measured twice rather than kept in a table between.  A column that
+    is not deterministic keeps the optimizer from moving the filter below the
+    measures, where it would compute them again for every use.
     """
     names = docs.columns
     at = {c: f"__d{names.index(c)}" for c in (text_col, lang_col, source_col)}
     inner = docs.toDF(*[f"__d{i}" for i in range(len(names))])
-    measured = measure(inner, at[text_col])
-    out = judge(measured, thresholds(measured, at[lang_col], at[source_col]), at[lang_col], at[source_col])
-    return out.filter("kept").select(*[F.col(f"__d{i}") for i in range(len(names))]).toDF(*names)
+    measured = measure(inner, at[text_col]).withColumn("__fence", F.monotonically_increasing_id())
+    lean = scratch(measure(inner.select(at[text_col], at[lang_col], at[source_col]), at[text_col]).drop(at[text_col]), "quality-measures")
+    out = judge(measured, thresholds(lean, at[lang_col], at[source_col]), at[lang_col], at[source_col])
+    return out.filter(F.col("kept") & (F.col("__fence") >= 0)).select(*[F.col(f"__d{i}") for i in range(len(names))]).toDF(*names)
