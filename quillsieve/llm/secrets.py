@@ -48,6 +48,10 @@ def _starts(lengths: Column) -> Column:
     return F.flatten(F.transform(heads, lambda t, b: F.aggregate(part(b), F.struct(t.alias("t"), empty.alias("s")), grow, lambda a: a["s"])))
 
 
+def _long(least: int) -> Callable[[Column], Column]:
+    return lambda s: F.length(s["value"]) >= least
+
+
 def _span(k: int, kind: str, pattern: str, group: int) -> Callable[[Column], Column]:
     """Of the k-th kind's split text, part i as a span."""
 
@@ -71,7 +75,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = []
     for k, (kind, pattern, group, least) in enumerate(kinds):
         odd = F.when(F.col(f"__p{k}").isNotNull(), F.transform(F.sequence(F.lit(1), F.size(f"__p{k}") - 2, F.lit(2)), _span(k, kind, pattern, group))).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,value:string>>)"))
-        good = lambda s, least=least: F.length(s["value"]) >= least
+        good = _long(least)
         if kind == OPAQUE[0]:
             good = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= LIVE_CHARACTERS)
         found.append(F.filter(odd, good))
