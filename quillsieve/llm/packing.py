@@ -3,7 +3,9 @@
 Documents become token ids and a final end id.  They are sharded by lexical
 signatures, so that similar documents meet; each shard keeps a BM25 inverted
 index over its tokens, with inverse document frequencies and the mean length
-counted over the whole corpus.  A seed document opens a window; its best unused
+counted over the whole corpus.  All terms of a seed score: those that many of
+the block's documents hold by a matrix product for the whole block, the others
+from their postings.  A seed document opens a window; its best unused
 neighbours fill the window in order of their scores, and the last one is cut
 where the window ends and seeds the next.  A window that nothing fills at a
 shard's end is cut into sequences whose lengths are powers of two, so no
@@ -38,7 +40,8 @@ LENGTH = 1024
 END = 0
 BLOCK_TOKENS = 1 << 21
 BLOCK_DOCS = 2048
-QUERY_TERMS = 24  #: of a seed, those of greatest weight
+QUERY_TERMS = None  #: no cut: all terms of a seed score
+DENSE_SHARE = 32  #: a term that over 1 / so many of a block's documents hold is scored for all seeds at once
 NEIGHBOURS = 32  #: retrieved at a time; a window that takes them all retrieves again
 K1, B = 1.2, 0.75
 CHUNK = 1 << 14  #: characters from which a text is cut
@@ -161,19 +164,35 @@ class Shard:
         term, doc, tf = np.concatenate(term).astype(np.int64), np.concatenate(doc), np.concatenate(tf).astype(np.float32)
         length = np.array([len(x) for x in ids], np.float32)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+        # multiples of a power of two, so that sums are exact in any order and equal documents tie
+        weight = np.rint(weight.astype(np.float64) * (1 << 20)) / (1 << 20)
         self.size = len(ids)
-        # each document's query: its terms of greatest weight
-        order = np.lexsort((-weight, doc))
-        edge = np.searchsorted(doc[order], np.arange(self.size + 1))
-        self.query = [term[order[a : min(z, a + QUERY_TERMS)]] for a, z in zip(edge, edge[1:], strict=False)]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
+        self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        df = np.diff(self.first)
+        dense = df * DENSE_SHARE > self.size
+        # each document's query: all its terms; here those that few documents hold
+        few = ~dense[term]
+        self.query = np.split(term[few], np.searchsorted(doc[few], np.arange(1, self.size)))
+        self.base = np.zeros((self.size, self.size))
+        many = np.flatnonzero(dense)
+        for a in range(0, len(many), 256):
+            part = many[a : a + 256]
+            n = df[part]
+            row = np.repeat(np.arange(len(part)), n)
+            at = np.arange(len(row)) + np.repeat(self.first[part] - (np.cumsum(n) - n), n)
+            held = np.zeros((len(part), self.size))
+            held[row, self.doc[at]] = self.weight[at]
+            self.base += (held > 0).astype(np.float64).T @ held
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents by falling score, ties by place."""
-        spans = [(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        score = np.bincount(np.concatenate([self.doc[a:z] for a, z in spans]), np.concatenate([self.weight[a:z] for a, z in spans]), self.size)
+        score = self.base[seed].copy()
+        if len(t := self.query[seed]):
+            n = self.first[t + 1] - self.first[t]
+            at = np.arange(n.sum()) + np.repeat(self.first[t] - (np.cumsum(n) - n), n)
+            score += np.bincount(self.doc[at], self.weight[at], self.size)
         score[~unused] = 0
         best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.size > NEIGHBOURS else np.arange(self.size)
         best = best[score[best] > 0]

@@ -108,6 +108,35 @@ def test_bm25_finds_the_brute_force_best():
         assert np.allclose(np.sort(score[got]), np.sort(score)[::-1][: len(got)][::-1], rtol=1e-3)
 
 
+def test_all_terms_of_long_seeds_score():
+    """Seeds of 60 to 400 distinct terms, frequent and rare ones, against a brute force without any cut."""
+    rng = np.random.default_rng(1)
+    p = 1 / np.arange(1, 2001)
+    docs = [rng.choice(2000, rng.integers(150, 1500), p=p / p.sum()).astype("<u2") for _ in range(150)]
+    assert min(len(np.unique(d)) for d in docs) > 30
+    tf = np.stack([np.bincount(d, minlength=2000) for d in docs])
+    df = (tf > 0).sum(axis=0)
+    idf = np.log1p((150 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    n = tf.sum(axis=1, keepdims=True)
+    weight = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / n.mean()))
+    shard = packing.Shard(docs, idf, n.mean())
+    for seed in range(150):
+        unused = np.arange(150) != seed
+        score = np.where(unused, weight[:, tf[seed] > 0].sum(axis=1), 0)
+        got = shard.neighbours(seed, unused)
+        assert len(got) == packing.NEIGHBOURS
+        assert np.allclose(score[got], np.sort(score)[::-1][: len(got)], rtol=1e-4)
+
+
+def test_equal_documents_tie_by_place():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 500, 200).astype("<u2") for _ in range(40)]
+    docs = docs + docs
+    shard = packing.Shard(docs, np.linspace(0.1, 5, 500).astype(np.float32), 200.0)
+    got = shard.neighbours(0, np.arange(80) != 0).tolist()
+    assert got[0] == 40 and got[2::2] == [d + 40 for d in got[1:-1:2]]
+
+
 def test_odd_rows(make, odd):
     out = packing.pack(make(odd), keep_ids=True)
     tokens = sum(r.length for r in out.collect())
