@@ -3,7 +3,8 @@
 ``scan`` finds candidates in whole texts: the base kinds, which always stay, and
 opaque tokens.  ``ownership`` counts for each candidate's hash the distinct
 owners and repositories that hold it.  Opaque tokens that belong to few owners
-and look alive are added as spans of kind ``live``; values that many owners
+and few repositories and look alive, by the entropy of their characters, are
+added as spans of kind ``live``; values that many owners or many repositories
 share are copied examples.
 
 Spans are code points, end exclusive.  They come from lengths: matches are
@@ -33,7 +34,10 @@ KINDS = (
 )
 OPAQUE = ("live", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0, 20)
 COPIED_OWNERS = 3  #: owners from which a value is a copied example
-LIVE_CHARACTERS = 10  #: distinct characters of a value that looks alive
+COPIED_REPOSITORIES = 10  #: repositories from which it is one as well, even of one owner
+#: Least entropy of a value that looks alive, in bits a character: with digits and letters, with letters alone.
+#: Digits alone have 3.32 at most; words and names of 20 letters have less than 3.5, longer ones less than 4.
+LIVE_ENTROPY, LIVE_ENTROPY_LETTERS = 3.5, 4.0
 BLOCK = 128
 
 
@@ -52,6 +56,15 @@ def _long(least: int) -> Callable[[Column], Column]:
     return lambda s: F.length(s["value"]) >= least
 
 
+def _alive(s: Column) -> Column:
+    """Whether a span's value has the entropy of a key."""
+    v = s["value"]
+    n = F.length(v).cast("double")
+    part = lambda c: (n - F.length(F.replace(v, c, F.lit("")))) / n
+    entropy = F.aggregate(F.array_distinct(F.split(v, "")), F.lit(0.0), lambda a, c: a - part(c) * F.log2(part(c)))
+    return entropy >= F.when(v.rlike("[0-9]") & v.rlike("[A-Za-z]"), F.lit(LIVE_ENTROPY)).otherwise(F.lit(LIVE_ENTROPY_LETTERS))
+
+
 def _span(k: int, kind: str, pattern: str, group: int) -> Callable[[Column], Column]:
     """Of the k-th kind's split text, part i as a span."""
 
@@ -75,10 +88,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = []
     for k, (kind, pattern, group, least) in enumerate(kinds):
         odd = F.when(F.col(f"__p{k}").isNotNull(), F.transform(F.sequence(F.lit(1), F.size(f"__p{k}") - 2, F.lit(2)), _span(k, kind, pattern, group))).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,value:string>>)"))
-        good = _long(least)
-        if kind == OPAQUE[0]:
-            good = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= LIVE_CHARACTERS)
-        found.append(F.filter(odd, good))
+        found.append(F.filter(odd, _alive if kind == OPAQUE[0] else _long(least)))
     out = placed.select(*keep, *[x.alias(f"__f{k}") for k, x in enumerate(found)])
     base = F.concat(*[F.col(f"__f{k}") for k in range(len(KINDS))])
     clear = F.filter(f"__f{len(KINDS)}", lambda s: ~F.exists("__b", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -108,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbered = scratch(found.withColumn("row", F.monotonically_increasing_id()), "secret-rows")
     single = numbered.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("hash", hashed(F.col("s")))
     judged = bounded_join(single.select("row", "s", "hash"), known, ["hash"])
-    copied = F.col("n_owners") >= COPIED_OWNERS
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)
     base = F.col("s.rank") < len(KINDS)
     judged = judged.filter(base | ~copied)
     piece = F.concat_ws(":", F.col("s.kind"), F.col("s.start"), F.col("s.end"))

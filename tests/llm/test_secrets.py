@@ -39,5 +39,22 @@ def test_ownership_separates_examples_from_live_values(make):
     assert got[0].spans == "" and got[10].n_copied == 1 and got[10].spans.startswith("assign:0:")
 
 
+def test_example_copied_within_one_owner(make):
+    """Many repositories of one or two owners make a copied example, two do not."""
+    shared, live = "Ex4mpleT0kenThatAllCopy", "Zx9-kQ7wPm3Tb5Lr8Vn2"
+    rows = [(i, f"see {shared} here", "en", f"s{i % 2}") for i in range(30)] + [(i, f"mine {live}", "en", "s1") for i in (90, 91)] + [(i, f"password={shared}", "en", "s1") for i in (95, 96)]
+    got = {r.doc_id: r for r in secrets.find_secrets(make(rows)).collect()}
+    assert not any(got[i].n_live or got[i].spans for i in range(30))
+    assert got[90].n_live == got[91].n_live == 1
+    assert got[95].n_copied == 1 and got[95].n_owner_specific == 0 and got[95].n_assign == 1
+
+
+def test_live_values_of_two_classes_and_words(make):
+    keys = ["k3v9x0q7m2z8w4t6p1r5", "K3V9X0Q7M2Z8W4T6P1R5", "qWzXeRcTvYbUnImOpLkJ"]
+    words = ["internationalizations", "some_long_identifier_name", "12345678901234567890", "a1" * 12, "-" * 30, "src/local/lib/module/names"]
+    got = {r.doc_id: r.n_live for r in secrets.find_secrets(make([(i, f"see {v} here", "en", f"s{i}") for i, v in enumerate(keys + words)])).collect()}
+    assert [got[i] for i in range(len(keys + words))] == [1] * len(keys) + [0] * len(words)
+
+
 def test_empty(make):
     assert secrets.find_secrets(make([])).count() == 0
