@@ -3,10 +3,11 @@
 ``measure`` computes counts of words, symbols, repeated lines and repeated
 8-word windows.  ``thresholds`` keeps a mergeable KLL sketch of each ratio per
 language and source, merges them upward (language, then all) for groups that
-are too small, and turns quartiles into fences.  ``judge`` joins the fences to
-the measures.  A fence lies ``REACH`` spreads outside the quartiles, where the
-spread is the interquartile range or a least spread, so a group of clean
-documents rejects none of them merely for being its most extreme.
+are too small, and turns quantiles into fences.  ``judge`` joins the fences to
+the measures.  A fence lies as far outside the ``TAIL`` quantile of its side as
+that lies from the median, so the spread of a group's bulk decides, and at most
+``TAIL`` of a group lies beyond it.  There is no least spread: where hardly any
+document has symbols or repeats, those that have them fail.
 
 Defined results: a null text has no words; a document without words fails the
 base rule; null languages and sources are groups of their own; repeated rows
@@ -24,10 +25,10 @@ WINDOW = 8  #: words in a window
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 200  #: documents from which a group's own sketch is used
-REACH = 4.0
+TAIL = 0.05
 SKETCH_K = 400
-#: Ratios judged, with their least spread and whether a low value counts as well.
-RATIOS = {"symbol_ratio": (0.1, False), "dup_line_ratio": (0.1, False), "mean_word": (1.5, True)}
+#: Ratios judged, and whether a low value counts as well.
+RATIOS = {"symbol_ratio": False, "dup_line_ratio": False, "repeat_ratio": False, "mean_word": True}
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -69,7 +70,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def ratios() -> dict[str, Column]:
     per_word = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     per_line = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return {"symbol_ratio": F.col("n_symbols") / per_word, "dup_line_ratio": F.col("n_dup_lines") / per_line, "mean_word": F.col("word_chars") / per_word}
+    return {"symbol_ratio": F.col("n_symbols") / per_word, "dup_line_ratio": F.col("n_dup_lines") / per_line, "repeat_ratio": F.col("n_repeat_words") / per_word, "mean_word": F.col("word_chars") / per_word}
 
 
 def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -86,11 +87,10 @@ def thresholds(measured: DataFrame, lang_col: str = "lang", source_col: str = "s
     a, b, c = own.alias("a"), by_lang.alias("b"), all_.alias("c")
     joined = a.join(b, F.col("a.__lang").eqNullSafe(F.col("b.__lang"))).join(F.broadcast(c), F.lit(True))  # c is one row
     out = [F.col("a.__lang").alias(lang_col), F.col("a.__source").alias(source_col)]
-    for k, (least, low) in RATIOS.items():
+    for k, low in RATIOS.items():
         sketch = F.when(F.col("a.n") >= MIN_GROUP, F.col(f"a.{k}")).when(F.col("b.n") >= MIN_GROUP, F.col(f"b.{k}")).otherwise(F.col(f"c.{k}"))
-        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.75)))
-        spread = F.greatest(q[1] - q[0], F.lit(least)) * REACH
-        out += [(q[0] - spread if low else F.lit(float("-inf"))).alias(f"{k}_low"), (q[1] + spread).alias(f"{k}_high")]
+        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(TAIL), F.lit(0.5), F.lit(1 - TAIL)))
+        out += [(2 * q[0] - q[1] if low else F.lit(float("-inf"))).alias(f"{k}_low"), (2 * q[2] - q[1]).alias(f"{k}_high")]
     return joined.select(*out)
 
 

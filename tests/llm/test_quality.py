@@ -42,6 +42,23 @@ def test_adaptive_fences(make):
     assert kept[2002]  # a small source is judged by its language
 
 
+def test_junk_inside_the_old_floors(make):
+    """Junk between 0.1 and 0.4 of a clean source fails, each ratio by itself; so do words of one letter."""
+    word = lambda j: f"word{j % 97}"
+    line = lambda a, n: " ".join(word(a + j) for j in range(n))
+    clean = lambda k: "\n".join(line(k * 7 + 9 * i, 6 + k % 3) for i in range(8))
+    rows = [(k, clean(k), "en", "plain") for k in range(400)]
+    marked = lambda n: " ".join(word(j) + ("#" if j < n else "") for j in range(60))
+    symbols = [(1000 + n, marked(n), "en", "plain") for n in (7, 12, 23)]
+    lines = [(2000 + n, "\n".join(line(3, 5) if i % 2 and i < 2 * n + 2 else line(5 + 6 * i, 6) for i in range(10)), "en", "plain") for n in (1, 2, 3)]
+    repeats = [(3000, f"{line(0, 9)} {line(20, 70)} {line(0, 9)}", "en", "plain")]
+    letters = [(4000, " ".join("abcdefghijklmnopqrstuvwxyz"), "en", "plain")]
+    got = {r.doc_id: r for r in quality.quality(make(rows + symbols + lines + repeats + letters)).collect()}
+    assert all(r.kept for i, r in got.items() if i < 1000)
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i, r in got.items() if i >= 1000 and r.kept] == []
+
+
 def test_stage_keeps_columns_and_empty(make, odd):
     df = make(odd)
     out = quality.keep_good(df)
