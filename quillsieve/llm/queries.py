@@ -46,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_report(_table(spark, sf_dir, "documents"))
+    return linededup.dedup_report(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

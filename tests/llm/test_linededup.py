@@ -54,6 +54,38 @@ def test_matches_brute_force(make, monkeypatch):
             assert (r.n_lines, r.n_removed, r.n_links, r.class_id, r.removed_lines) == (len((t or "").split("\n")), len(gone), links, least, ",".join(map(str, gone))), i
 
 
+def brute_all(rows):
+    """Removed lines of distinct rows with ids, every line with a word compared."""
+    lines = sorted(((i, k), s) for i, t in rows for k, x in enumerate((t or "").split("\n")) if (s := tokens(x)))
+    out = {i: [] for i, _ in rows}
+    for p, s in lines:
+        if any(q < p and 5 * len(s & r) >= 4 * len(s | r) for q, r in lines):
+            out[p[0]].append(p[1])
+    return out
+
+
+def test_short_lines_and_lines_of_one_word(make):
+    """Copies of short lines, four words against five, and lines in scripts without spaces."""
+    zh = "这是一个没有空格的很长的句子" * 5
+    rows = fixture(2) + [(100, f"Ietzte.\nStteen Erachtz.\n\n{zh}"), (101, f"ietzte.\n\n{zh}\nown"), (102, "q w e r\nq w e r t\nq w e\n \n"), (103, "a a a a a a b c d\nd c b a"), (104, None)]
+    want = brute_all(rows)
+    assert want[101] == [0, 2] and want[102] == [1] and want[103] == [1]
+    got = {r.doc_id: r for r in linededup.dedup_report(make(rows), least=1).collect()}
+    assert {i: r.removed_lines for i, r in got.items()} == {i: ",".join(map(str, sorted(x))) for i, x in want.items()}
+    assert sum(r.n_removed for r in got.values()) > sum(r.n_removed for r in linededup.dedup_report(make(rows)).collect())
+
+
+def test_query_and_stage_compare_short_lines(spark, tmp_path, make):
+    import corpus_pipeline
+
+    from quillsieve.llm import queries
+
+    docs = make([(1, "first of all\nshort line"), (2, "second of all\nshort line")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.removed_lines for r in queries.op8_lines(spark, str(tmp_path)).collect()} == {1: "", 2: "1"}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}[2] == "second of all"
+
+
 def test_removal(make):
     rows = fixture(1)
     want = brute(rows)
