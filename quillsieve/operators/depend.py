@@ -80,10 +80,16 @@ def failures_by_subject(failed: DataFrame) -> DataFrame:
     return failed.groupBy("subject_id").agg(F.countDistinct("variable").alias("n"))
 
 
+def failed_ids(df: DataFrame, id_col: str, rules: Sequence[Rule]) -> DataFrame:
+    """(variable, dependency, subject_id, n_rows): every failing id of every rule, with its number of failing rows."""
+    return failures(df, id_col, rules).groupBy("variable", "dependency", "subject_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def rule_report(df: DataFrame, id_col: str, rules: Sequence[Rule], ids: int = 50) -> DataFrame:
     """(variable, dependency, n_failures, ids): counts of failing rows, and the first failing ids in order.
 
-    At most ``ids`` ids are listed for a rule (a report's length, not a limit of the counts).
+    At most ``ids`` ids are listed for a rule (a report's length, not a limit of the counts);
+    ``failed_ids`` has them all.
     """
     failed = failures(df, id_col, rules)
     n = failed.groupBy("variable", "dependency").agg(F.count(F.lit(1)).alias("n_failures"))

@@ -261,6 +261,7 @@ _one = [lambda: depend.Rule("w", "d2", F.col("w") < 45, exclude_all=True)]
 add("dependency_exclude_all", "lineitem", DEP, lambda d: depend.null_failures(d.drop("l_linenumber"), "l_orderkey", [_one[0]()]), f"SELECT l_orderkey, CASE WHEN NOT f2 THEN a END AS a, CASE WHEN NOT f2 THEN b END AS b, CASE WHEN NOT f2 THEN x END AS x, CASE WHEN NOT f2 THEN y END AS y, CASE WHEN NOT f2 THEN w END AS w FROM {_flag}")
 add("dependency_na_counts", "lineitem", DEP, lambda d: depend.null_counts(d, "l_orderkey", _rules()), f"SELECT count(x) FILTER (WHERE f1) + count(y) FILTER (WHERE f1) + count(w) FILTER (WHERE f2) + count(a) FILTER (WHERE f3) AS n_new_null, count(*) * 4 AS n_possible FROM {_flag}")
 add("dependency_report", "lineitem", DEP, lambda d: depend.rule_report(d, "l_orderkey", _rules(), 5), f"WITH f AS ({_fail}), u AS (SELECT DISTINCT * FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY variable, dependency ORDER BY subject_id) AS k FROM u) SELECT n.variable, n.dependency, n.n_failures, l.ids FROM (SELECT variable, dependency, count(*) AS n_failures FROM f GROUP BY 1, 2) n JOIN (SELECT variable, dependency, string_agg(CAST(subject_id AS VARCHAR), ',' ORDER BY subject_id) AS ids FROM r WHERE k <= 5 GROUP BY 1, 2) l USING (variable, dependency)")
+add("dependency_failed_ids", "lineitem", DEP, lambda d: depend.failed_ids(d, "l_orderkey", _rules()), f"SELECT variable, dependency, subject_id, count(*) AS n_rows FROM ({_fail}) GROUP BY 1, 2, 3")
 add("dep_failures_by_subject", "lineitem", DEP, lambda d: depend.failures_by_subject(depend.failures(d, "l_orderkey", _rules())), f"SELECT subject_id, count(DISTINCT variable) AS n FROM ({_fail}) GROUP BY 1")
 
 # ---- derived columns -----------------------------------------------------------------

@@ -56,6 +56,12 @@ def test_failures_spread_over_equal_ids(spark):
     assert values(depend.rule_report(df, "id", rules), "variable", "n_failures", "ids") == [("x", 1, "a"), ("y", 1, "c")]
 
 
+def test_every_failing_id_is_listed(spark):
+    df = spark.createDataFrame([(f"s{i:03}", i) for i in [*range(200), 7]], "id string, x int")
+    rules = [depend.Rule("x", "d", F.col("x") >= 150)]
+    assert values(depend.failed_ids(df, "id", rules), "subject_id", "n_rows") == [(f"s{i:03}", 1 + (i == 7)) for i in range(150)]
+
+
 def test_rank_normal(spark):
     df = spark.createDataFrame([(i, float(v) if v is not None else None, s) for i, (v, s) in enumerate([(5, "a"), (1, "a"), (3, "a"), (2, "b"), (4, None), (None, "a")])], "i int, x double, s string")
     got = {r.i: r.z for r in ranks.rank_normal(df, "x", "z", tie=F.col("i")).collect()}
