@@ -22,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linededup
 from .common import bound_arrow, bounded_join, discard, pick, scratch
 
 SEED = 42
@@ -254,9 +256,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return bounded_join(fps, answer, ["fp"])
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def _least_by_fingerprint(rows: DataFrame, width: int) -> DataFrame:
+    """(id, th, n): of each group of near fingerprints the least row, and how many rows it is."""
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    found = near_duplicates(rows.select(key.alias("doc_id"), "text"), width=width)
+    keep = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return keep.select("id.id", "id.th", "n")
+
+
+def _least_by_shingles(rows: DataFrame, width: int) -> DataFrame:
+    """As ``_least_by_fingerprint``, for groups linked by a Jaccard similarity of 0.8 of shingle sets.
+
+    Fingerprints of 64 bits differ in about ten places at that similarity, where
+    no segment of them tells pairs apart; the exact join of sets finds all pairs.
+    """
+    copies, classes, links = linededup.class_links(rows, partial(linededup.shingles, width=width), 1)
+    label = components(links)
+    named = classes.join(label, classes["s1"] == label["node"], "left").select("first", F.coalesce("label", "s1").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("k_id"), F.col("first.th").alias("k_th"))
+    # rows of one key, combined in each task
+    n = copies.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(least, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, exact: bool = False) -> DataFrame:
     """The documents with one of each group: the row with the group's least id, once.
 
+    Groups are linked by fingerprints, or with ``exact`` by a Jaccard similarity
+    of 0.8 or more of the shingle sets.
+
     Rows are told apart by id and text; of rows that agree in both, one stays.
     Rows without an id come last in their group, so a group of such rows alone
     keeps one.
@@ -265,10 +293,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     at, text = names.index(id_col), names.index(text_col)
     own = lambda df: df.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"__d{text}"), F.lit(""))))
     inner = own(docs.toDF(*[f"__d{i}" for i in range(len(names))]))
-    key = F.struct(F.col(f"__d{at}").isNull().alias("none"), F.col(f"__d{at}").alias("id"), F.col("__th").alias("th"))
-    found = near_duplicates(inner.select(key.alias("doc_id"), F.col(f"__d{text}").alias("text")), width=width)
-    keep = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    keep = scratch(keep.select(F.col("id.id").alias("__id"), F.col("id.th").alias("__kh"), "n"), "simhash-keep")
+    rows = inner.select(F.col(f"__d{at}").alias("id"), F.col(f"__d{text}").alias("text"), F.col("__th").alias("th"))
+    keep = (_least_by_shingles if exact else _least_by_fingerprint)(rows, width)
+    keep = scratch(keep.toDF("__id", "__kh", "n"), "simhash-keep")
     same = F.col(f"__d{at}").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kh"))
     once = inner.join(keep.filter("n = 1"), same, "left_semi").select(*inner.columns[:-1])
     # rows that repeat: one for each key, combined in each task before they meet

@@ -82,6 +82,44 @@ def test_long_chain(spark):
     assert tuple(out) == (-40, -40, 440)
 
 
+def test_stage_finds_all_near_copies(spark, make, odd, sample):
+    """The pipeline's stage keeps what a brute force over 5-word shingle sets keeps."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [(i, t) for i, t, *_ in sample[:60]]
+    for k in range(40):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 200))]
+        rows.append((10_000 + 10 * k, " ".join(w)))
+        for c in range(1, 4):  # some above, some below the similarity
+            v = list(w)
+            for _ in range(rng.randint(1, 1 + len(w) // 30)):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(4000)}"
+            rows.append((10_000 + 10 * k + c, " ".join(v)))
+    sets = []
+    for _, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).split(" ")
+        w = " ".join(w).encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    label = list(range(len(rows)))
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                linked += sets[i] != sets[j]
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    assert linked > 30
+    least = {}
+    for (i, _), g in zip(rows, label, strict=True):
+        least[g] = min(i, least.get(g, i))
+    got = corpus_pipeline.near_dedup(spark, make(rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(least.values())
+    got = corpus_pipeline.near_dedup(spark, make(odd), "").collect()  # without words: one; repeated rows: once
+    assert len([1 for r in got if not (r.text or "").split()]) == 1 and [r.doc_id for r in got].count(8) == 1
+    assert corpus_pipeline.near_dedup(spark, make([]), "").count() == 0
+
+
 def test_keep_one(make, odd):
     df = make(odd + [(20, "same words here and more"), (19, "same words here and more"), (None, "same words here and more")])
     out = simhash.keep_one(df)
