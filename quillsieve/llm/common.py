@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import functools
-import gc
 import operator
 import uuid
 
@@ -29,6 +28,9 @@ DEFAULT_WORK_DIR = "/tmp/checkpoints/quillsieve"
 ARROW_BATCH_BYTES = 32 << 20
 #: Largest table, measured in bytes of its values, that is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: A key with over one in so many of all rows, and over ``HOT_ROWS`` rows, is hot.
+HOT_KEYS = 1024
+HOT_ROWS = 4096
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -54,12 +56,6 @@ def scratch(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables whose readers have all run."""
     for t in tables:
@@ -130,3 +126,22 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     on = functools.reduce(operator.and_, [big[k].eqNullSafe(right[f"__k_{k}"]) for k in keys]) & (big["__salt"] == right["__salt_r"])
     return big.join(right, on, how).drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """Inner equi-join of ``big`` with ``small``, which has one row per key and no null keys.
+
+    Keys are counted first.  Those with over one in ``HOT_KEYS`` of all rows,
+    fewer than ``HOT_KEYS`` by that, are dealt out by salts, their
+    rows of ``small`` repeated for each; the others meet by key alone.
+    """
+    total, most = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= bound:
+        return big.join(small, keys)
+    hot = scratch(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select(*keys), "hot-keys")
+    cold = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
+    warm = big.join(F.broadcast(hot), keys, "left_semi").withColumn("__salt", salt)
+    many = small.join(F.broadcast(hot), keys, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return cold.unionByName(warm.join(many, [*keys, "__salt"]).drop("__salt"))

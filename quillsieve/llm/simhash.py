@@ -270,13 +270,16 @@ def _least_by_shingles(rows: DataFrame, width: int) -> DataFrame:
     Fingerprints of 64 bits differ in about ten places at that similarity, where
     no segment of them tells pairs apart; the exact join of sets finds all pairs.
     """
-    copies, classes, links = linededup.class_links(rows, partial(linededup.shingles, width=width), 1)
-    label = components(links)
-    named = classes.join(label, classes["s1"] == label["node"], "left").select("first", F.coalesce("label", "s1").alias("label"))
+    join = linededup.Join(rows, partial(linededup.shingles, width=width))
+    label = join.components(components)
+    named = join.classes.select("rank", "first").join(label, F.col("rank") == F.col("node"), "left").select("first", F.coalesce("label", "rank").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("k_id"), F.col("first.th").alias("k_th"))
     # rows of one key, combined in each task
-    n = copies.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(least, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi")
+    n = join.lines.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
+    out = scratch(n.join(least, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi"), "simhash-least")
+    discard(label)
+    join.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, exact: bool = False) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 import re
+from functools import partial
 
-from quillsieve.llm import linededup
+from pyspark.sql import functions as F
+
+from quillsieve.llm import linededup, simhash
 
 
 def tokens(line):
@@ -113,3 +116,62 @@ def test_copied_passage_is_left_once(make):
     rows = [(i, f"own line number {i} with words {i} here\n{passage}") for i in range(6)]
     got = {r.doc_id: r.text for r in linededup.remove_lines(make(rows)).collect()}
     assert [i for i in range(6) if passage in got[i]] == [0]
+
+
+SMALL = {"PAIRS": 16, "LONG_RUN": 4, "BLOCK": 2, "RUN_ROWS": 24, "BUCKET_ROWS": 64}
+
+
+def near_copies(n, words=40, seed=3):
+    """Lines that differ from one another in a word or two, each in a document of its own."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for d in range(n):
+        line = list(base)
+        line[rng.randrange(words)] = f"own{d}"
+        rows.append((d, " ".join(line)))
+    return rows
+
+
+def test_blocks_and_rounds_lose_nothing(make, monkeypatch):
+    """Long runs, runs dealt out in blocks and later rounds give the same lines."""
+    rows = fixture(4) + [(1000 + i, t) for i, t in near_copies(40)]
+    want = {i: ",".join(map(str, sorted(x))) for i, x in brute_all(rows).items()}
+    for sizes in ({}, SMALL):
+        for k, v in sizes.items():
+            monkeypatch.setattr(linededup, k, v)
+        got = linededup.dedup_report(make(rows), least=1, asked=F.col("id") % 50 == 0)
+        assert {r.doc_id: r.removed_lines for r in got.collect()} == want
+        full = {r.doc_id: r.n_links for r in linededup.dedup_report(make(rows), least=1).collect()}
+        assert {r.doc_id: r.n_links for r in got.collect()} == {i: n if i % 50 == 0 else None for i, n in full.items()}
+
+
+def test_components_join_what_earliest_matches_leave_apart(spark, make, monkeypatch):
+    """A matches B and C matches B, but A and C do not match: one group all the same."""
+    w = [f"w{i}" for i in range(100)]
+    a, b, c = w[:90], w[5:95], w[10:]  # 85 of 95 words in common, and 80 of 100
+    apart = [f"z{i}" for i in range(100)]
+    far = [apart[:90], apart[8:98], apart[16:] + ["y"] * 6]  # 82 of 98, then 74 of 107
+    rows = [(1, " ".join(a)), (3, " ".join(b)), (2, " ".join(c)), (10, " ".join(far[0])), (12, " ".join(far[1])), (11, " ".join(far[2]))]
+    rows += [(100 + i, t) for i, t in near_copies(30)]
+    for sizes in ({}, SMALL):
+        for k, v in sizes.items():
+            monkeypatch.setattr(linededup, k, v)
+        df = linededup._rows(make(rows), "doc_id", "text")
+        join = linededup.Join(df, partial(linededup.shingles, width=1))
+        first = {r["rank"]: r["first"].id for r in join.classes.collect()}
+        groups = {}
+        label = {r.node: r.label for r in join.components(simhash.components).collect()}
+        for rank, i in first.items():
+            groups.setdefault(label.get(rank, rank), set()).add(i)
+        assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [10, 11, 12], list(range(100, 130))]
+
+
+def test_candidates_grow_with_the_lines(spark, make):
+    """Rows between the stages are in proportion to a group of near copies, not to its pairs."""
+    counts = []
+    for n in (200, 400):
+        join = linededup.Join(linededup._rows(make(near_copies(n)), "doc_id", "text"), partial(linededup.tokenize, least=1))
+        counts.append((join.candidates(linededup.FIRST).count(), join.matches().count()))
+    assert counts[0][1] == 199 and counts[1][1] == 399
+    assert counts[1][0] < 2.5 * counts[0][0] < 2.5 * 200 * 10
