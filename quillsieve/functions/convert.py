@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import match, quoted
+
 NUMBER = r"\A(-?[0-9]+\.?[0-9]*)(?:\z| *[^ 0-9/].*\z)"
 PRESSURE = r"\A([0-9]+) *[-/,] *([0-9]+)"
 UNDELIMITED = r"\A[0-9]{4}[0-9]?[0-9]?\z"
@@ -24,14 +26,9 @@ class Level:
     alternates: tuple[str, ...] = ()
 
 
-def _group(c: Column, pattern: str, group: int) -> Column:
-    """A match's group; null where the pattern does not match."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
-
-
 def parse_numeric(c: Column) -> Column:
     """The leading number, if no digit or slash follows it."""
-    return _group(c, NUMBER, 1).try_cast("double")
+    return match(c, NUMBER, 1).try_cast("double")
 
 
 def is_pressure(c: Column, trailing: bool = False, undelimited: bool = False) -> Column:
@@ -41,11 +38,10 @@ def is_pressure(c: Column, trailing: bool = False, undelimited: bool = False) ->
 
 def parse_pressure(c: Column, undelimited: bool = False) -> Column:
     """Blood pressure as systolic/diastolic; without a delimiter by the number of digits, if allowed."""
-    out = F.when(c.rlike(PRESSURE), F.concat_ws("/", F.regexp_extract(c, PRESSURE, 1), F.regexp_extract(c, PRESSURE, 2)))
-    if not undelimited:
-        return out
-    cut = F.when(F.length(c) == 4, 2).otherwise(3)
-    return F.when(c.rlike(UNDELIMITED), F.concat_ws("/", F.substring(c, F.lit(1), cut), F.substring(c, cut + 1, F.lit(3)))).otherwise(out)
+    if undelimited:
+        for first in (2, 3):
+            c = F.regexp_replace(c, rf"\A([0-9]{{{first}}})([0-9]{{2,{first}}})\z", "$1/$2")
+    return F.regexp_replace(match(c, PRESSURE), PRESSURE, "$1/$2")
 
 
 def map_levels(c: Column, levels: Sequence[Level]) -> Column:
@@ -66,8 +62,7 @@ def map_levels(c: Column, levels: Sequence[Level]) -> Column:
 
 
 def parse_levels(c: Column, levels: Sequence[Level]) -> Column:
-    mapped = map_levels(c, levels)
-    return F.when(mapped.isin(*[x.name for x in levels]), mapped)
+    return match(map_levels(c, levels), rf"\A(?:{quoted([x.name for x in levels])})\z")
 
 
 def level_rank(c: Column, levels: Sequence[Level]) -> Column:
@@ -81,13 +76,14 @@ def levels_to_numeric(c: Column, levels: Sequence[Level]) -> Column:
 
 def parse_year(c: Column) -> Column:
     """The year of a date in one of four forms; years before 1800 are none."""
-    leading = _group(c, r"\A([0-9]{4})-[0-9]{2}-[0-9]{2}\z", 1)
-    trailing = _group(c, r"\A.*[/ -]([0-9]{2}|[0-9]{4})\z", 1)
-    alone = _group(c, r"\A([0-9]{4})\z", 1)
-    month = _group(c, rf"\A(?:{MONTHS}),?([0-9]{{4}})\z", 1)
-    year = F.coalesce(month, alone, leading, trailing).cast("double")
-    full = F.when(year <= CENTURY, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    return F.when(full >= 1800, full)
+    four = "[0-9]{4}"
+    forms = rf"\A(?:(?:{MONTHS}),?({four})|({four})|({four})-[0-9]{{2}}-[0-9]{{2}}|.*[/ -]([0-9]{{2}}|{four}))\z"
+    year = F.regexp_replace(match(c, forms), forms, "$1$2$3$4")
+    # two digits, with zeros before them or without, are of this century or of the last
+    this = "|".join(f"{y:02}" for y in range(CENTURY + 1))
+    year = F.regexp_replace(year, rf"\A(?:00)?({this})\z", "20$1")
+    year = F.regexp_replace(year, r"\A(?:00)?([0-9]{2})\z", "19$1")
+    return match(year, r"\A(?:1[89]|[2-9][0-9])[0-9]{2}\z").cast("double")
 
 
 def wrong_type(before: Column, after: Column) -> Column:

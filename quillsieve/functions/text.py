@@ -67,7 +67,8 @@ UNICODE_REPLACEMENTS = (
     ("\u2014", "-"),
 )
 # Whole cells that spreadsheets leave for failed formulas.
-EXCEL_FAILURES = r"\A=?#(?:div/0!|DIV/0!|error!|ERROR!|value!|VALUE!)\z"
+EXCEL_FAILURE = r"=?#(?:div/0!|DIV/0!|error!|ERROR!|value!|VALUE!)"
+EXCEL_FAILURES = rf"\A{EXCEL_FAILURE}\z"
 # Whole cells that mean a missing value.
 MISSING_PATTERNS = (
     r"n[/]?a",
@@ -85,6 +86,21 @@ MISSING_PATTERNS = (
 MISSING = r"\A(?:" + "|".join(MISSING_PATTERNS) + r")\z"
 
 
+def match(c: Column, pattern: str, group: int = 0) -> Column:
+    """The first match's group, null where there is none; ``c`` stands in it once, so chains of such steps stay linear."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def unless(c: Column, pattern: str) -> Column:
+    """Null where the whole value matches."""
+    return match(c, rf"\A(?!(?:{pattern})\z)[\s\S]*\z")
+
+
+def quoted(values: Sequence[str]) -> str:
+    """A pattern of literal values."""
+    return "|".join("\\Q" + v.replace("\\E", "\\E\\\\E\\Q") + "\\E" for v in values)
+
+
 def lowercase(c: Column) -> Column:
     return F.lower(c)
 
@@ -124,7 +140,7 @@ def is_excel_failure(c: Column) -> Column:
 
 
 def null_excel_failures(c: Column) -> Column:
-    return F.when(~is_excel_failure(c), c)
+    return unless(c, EXCEL_FAILURE)
 
 
 def has_unicode(c: Column) -> Column:
@@ -156,14 +172,14 @@ def strip_nonword(c: Column, numeric: bool = False) -> Column:
 
 
 def normalize_missing(c: Column) -> Column:
-    return F.when(~F.coalesce(c.rlike(MISSING), F.lit(False)), c)
+    return unless(c, "|".join(MISSING_PATTERNS))
 
 
 def null_values(c: Column, values: Sequence[str] = (), suppress: bool = False) -> Column:
     """Exact members of ``values`` become null; all values if suppressed."""
     if suppress:
         return F.lit(None).cast("string")
-    return F.when(~F.coalesce(c.isin(*values), F.lit(False)), c) if values else c
+    return unless(c, quoted(values)) if values else c
 
 
 def vocabulary(c: Column) -> Column:

@@ -86,11 +86,13 @@ def bin_count(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """(bin, from, n, share) with bins of equal width (range + 1) / bins from the least value on.
 
+    Bins are as many as the distinct known values, 50 at most.
+
     With ``by``, counts are for each of its values.
     """
     x = F.col(f"`{column}`").cast("double")
-    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("all"), F.countDistinct(x).alias("d"), F.max(x.isNull().cast("int")).alias("z"))
-    ends = ends.select("lo", "all", ((F.col("hi") - F.col("lo") + 1) / F.least(F.lit(MOST_BINS), F.col("d") + F.col("z"))).alias("w"))
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("all"), F.countDistinct(x).alias("d"))
+    ends = ends.select("lo", "all", ((F.col("hi") - F.col("lo") + 1) / F.least(F.lit(MOST_BINS), F.col("d"))).alias("w"))
     group = [F.col(f"`{by}`").alias("group")] if by else []
     placed = df.select(x.alias("x"), *group).filter("x IS NOT NULL").crossJoin(F.broadcast(ends))  # one row
     bin_ = F.floor((F.col("x") - F.col("lo")) / F.col("w")).cast("long").alias("bin")
@@ -99,7 +101,8 @@ def histogram(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 
 
 def group_means(df: DataFrame, column: str, by: str) -> DataFrame:
-    return df.groupBy(F.col(f"`{by}`").cast("string").alias("group")).agg(F.avg(F.col(f"`{column}`").cast("double")).alias("mean"), F.count(F.col(f"`{column}`")).alias("n"))
+    """(group, mean, n) of each known value of ``by``."""
+    return df.filter(F.col(f"`{by}`").isNotNull()).groupBy(F.col(f"`{by}`").cast("string").alias("group")).agg(F.avg(F.col(f"`{column}`").cast("double")).alias("mean"), F.count(F.col(f"`{column}`")).alias("n"))
 
 
 def sd_guides(df: DataFrame, column: str, k: float = 3) -> DataFrame:
@@ -110,9 +113,12 @@ def sd_guides(df: DataFrame, column: str, k: float = 3) -> DataFrame:
 
 def shows_table(df: DataFrame, columns: Sequence[str], share: float = 1 / 3) -> DataFrame:
     """(variable, n_unique, n_rows, shown): a table of values is shown if few of them are unique."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(columns)])
-    parts = ", ".join(f"'{c}', u{i}, n, u{i} < n * {share!r}D" for i, c in enumerate(columns))
-    return row.selectExpr(f"stack({len(columns)}, {parts}) AS (variable, n_unique, n_rows, shown)")
+    # known values once for each variable, then their number; a row for null keeps variables that have none
+    each = value_counts(df, columns)
+    out = each.groupBy("variable").agg(F.count("value").alias("n_unique"), F.sum("n").alias("n_rows"))
+    empty = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    out = F.broadcast(empty).join(out, "variable", "left").select("variable", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+    return out.withColumn("shown", F.col("n_unique") < F.col("n_rows") * share)
 
 
 def year_pairs(df: DataFrame, age: str, year: str, reference: Column) -> DataFrame:

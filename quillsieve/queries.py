@@ -361,6 +361,11 @@ add("contingency_table", "lineitem", SOME, lambda d: profile.contingency(d, "l_r
 add("histogram_bins", "lineitem", SOME, lambda d: profile.bin_count(d, "price"), "SELECT least(50, count(DISTINCT price) + max(CASE WHEN price IS NULL THEN 1 ELSE 0 END)) AS bins FROM t")
 _ends = "(SELECT min(price) AS lo, count(price) AS c, (max(price) - min(price) + 1) / least(50, count(DISTINCT price) + max(CASE WHEN price IS NULL THEN 1 ELSE 0 END)) AS w FROM t)"
 add("histogram", "lineitem", SOME, lambda d: profile.histogram(d, "price").select("bin", F.round("start", 6).alias("start"), "n", F.round("share", 9).alias("share")), f"SELECT CAST(floor((price - lo) / w) AS BIGINT) AS bin, round(min(lo) + CAST(floor((price - lo) / w) AS BIGINT) * min(w), 6) AS start, count(*) AS n, round(count(*) / min(c)::DOUBLE, 9) AS share FROM t, {_ends} WHERE price IS NOT NULL GROUP BY 1")
+add(
+    "histogram_few_values", "lineitem", "CASE WHEN l_linenumber < 7 THEN l_linenumber END AS x",
+    lambda d: profile.histogram(d, "x").select("bin", F.round("start", 6).alias("start"), "n"),
+    "SELECT CAST(floor((x - lo) / w) AS BIGINT) AS bin, round(min(lo + floor((x - lo) / w) * w), 6) AS start, count(*) AS n FROM t, (SELECT min(x)::DOUBLE AS lo, (max(x) - min(x) + 1)::DOUBLE / least(50, count(DISTINCT x)) AS w FROM t) WHERE x IS NOT NULL GROUP BY 1",
+)
 add("histogram_by_group", "lineitem", SOME, lambda d: profile.histogram(d, "price", "l_returnflag").select("group", "bin", "n"), f"SELECT l_returnflag AS \"group\", CAST(floor((price - lo) / w) AS BIGINT) AS bin, count(*) AS n FROM t, {_ends} WHERE price IS NOT NULL GROUP BY 1, 2")
 add("multimodal_means", "lineitem", SOME, lambda d: profile.group_means(d, "price", "l_returnflag").select("group", F.round("mean", 4).alias("mean"), "n"), "SELECT l_returnflag AS \"group\", round(avg(price), 4) AS mean, count(price) AS n FROM t GROUP BY 1")
 add("sd_guides", "lineitem", SOME, lambda d: profile.sd_guides(d, "price").select(F.round("low", 3).alias("low"), F.round("high", 3).alias("high")), "SELECT round(avg(price) - 3 * stddev_samp(price), 3) AS low, round(avg(price) + 3 * stddev_samp(price), 3) AS high FROM t")

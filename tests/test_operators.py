@@ -10,24 +10,24 @@ def values(df, *cols):
 
 
 def test_consent(spark):
-    df = spark.createDataFrame([(x,) for x in ["e", "b", "c", "a", "d", "f", None]], "id string")
-    inc, exc = spark.createDataFrame([("a",), ("d",)], "id string"), spark.createDataFrame([("b",)], "id string")
+    df = spark.createDataFrame([(x,) for x in ["oak", "elm", "fir", "ash", None, "yew"]], "id string")
+    inc, exc = spark.createDataFrame([("yew",), ("oak",), ("elm",), ("box",)], "id string"), spark.createDataFrame([("fir",), ("elm",)], "id string")
     empty = spark.createDataFrame([], "id string")
-    assert values(rows.consent(df, "id", inc, exc), "id") == ["a", "d"]
-    assert values(rows.consent(df, "id", exclude=exc), "id") == [None, "a", "c", "d", "e", "f"]
+    assert values(rows.consent(df, "id", inc, exc), "id") == ["oak", "yew"]
+    assert values(rows.consent(df, "id", exclude=exc), "id") == [None, "ash", "oak", "yew"]
     assert values(rows.consent(df, "id", include=empty), "id") == []
-    assert rows.consent(df, "id", exclude=empty).count() == 7
-    assert values(rows.consent_ambiguous(df, "id", inc, exc), "id") == ["c", "e", "f"]
+    assert rows.consent(df, "id", exclude=empty).count() == 6
+    assert values(rows.consent_ambiguous(df, "id", inc, exc), "id") == ["ash"]
     n = rows.consent_counts(df, "id", inc, exc).first()
-    assert tuple(n) == (7, 1, 2)
+    assert tuple(n) == (6, 2, 2)
 
 
 def test_filters_and_metric(spark):
-    df = spark.createDataFrame([("A", 1.0), ("B", None), ("C", 18.0), (None, 30.0), ("D", 19.0)], "id string, age double")
-    assert values(rows.by_age(df, "age", 18), "id") == ["C", "D", None]
-    assert values(rows.by_missing_id(df, "id"), "id") == ["A", "B", "C", "D"]
-    metric = spark.createDataFrame([("B", 10), ("C", 5), ("D", 6)], "id string, n int")
-    assert values(rows.by_metric(df, "id", metric, 5), "id") == ["A", "C", None]
+    df = spark.createDataFrame([("oak", 61.0), ("elm", 25.0), (None, 70.5), ("fir", None), ("ash", 24.9)], "id string, age double")
+    assert values(rows.by_age(df, "age", 25), "id") == [None, "elm", "oak"]
+    assert values(rows.by_missing_id(df, "id"), "id") == ["ash", "elm", "fir", "oak"]
+    metric = spark.createDataFrame([("oak", 3), ("fir", 4), ("yew", 9)], "id string, n int")
+    assert values(rows.by_metric(df, "id", metric, 3), "id") == [None, "ash", "elm", "oak"]
     assert rows.by_metric(df, "id", metric, None).count() == 5
 
 
@@ -125,3 +125,22 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2.0 as age", "'x' as other").write.parquet(str(tmp_path / "p"))
     plan = rows.by_age(spark.read.parquet(str(tmp_path / "p")).select("id", "age"), "age", 5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(age,5" in plan and "other" not in plan
+
+
+def test_histogram_of_few_values(spark):
+    """Null is no value: bins are as many as the known values."""
+    df = spark.createDataFrame([(x, "g" if x else None) for x in (1.0, 1.0, 2.0, 5.0, None, None)], "x double, g string")
+    h = values(profile.histogram(df, "x"), "bin", "start", "n")
+    assert [(b, n) for b, _, n in h] == [(0, 3), (2, 1)] and h[1][1] == pytest.approx(1 + 2 * 5 / 3)
+    assert values(profile.group_means(df, "x", "g"), "group", "n") == [("g", 4)]
+
+
+def test_ranks_need_no_single_task(spark):
+    df = spark.createDataFrame([(i, float(i * 37 % 1000) if i % 10 else None, "ab"[i % 2]) for i in range(1000)], "i int, x double, s string")
+    out = ranks.rank_normal(df, "x", "z", tie=F.col("i"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(__part" in plan  # only the sums over ranges meet in one task
+    got = {r.x: r.z for r in out.collect()}
+    order = sorted(x for x in got if x is not None)
+    assert all(got[a] < got[b] for a, b in zip(order, order[1:], strict=False)) and got[None] is None
+    assert [r.z for r in ranks.rank_normal(spark.createDataFrame([(None,)], "x double"), "x", "z").collect()] == [None]

@@ -11,38 +11,38 @@ from quillsieve.sources import forms, read, report, write
 from quillsieve.streaming.rows import clean_stream
 
 DATASET = """
-tag: HW
-globals: {min_age_for_inclusion: 16, max_invalid_datatypes_per_subject: 10, consent_inclusion_file: yes.txt, consent_exclusion_file: no.txt}
+tag: BO
+globals: {min_age_for_inclusion: 21, max_invalid_datatypes_per_subject: 8, consent_inclusion_file: yes.txt, consent_exclusion_file: no.txt}
 variables:
-  HW1: {name: var1, type: string, canonical_name: subject, subject_id: true}
-  HW2: {name: var2, type: numeric, canonical_name: number, bounds: {max: 45}, dependencies: {d1: {name: small, condition: "HW2 < 30", exclude_on_failure: [HW10], table_comparisons: [HW6]}}}
-  HW3: {name: var3, shared_model: sex, canonical_name: sex}
-  HW4: {name: var4, type: date, canonical_name: date}
-  HW5: {name: var5, type: numeric, canonical_name: age, subject_age: true}
-  HW6: {name: var6, shared_model: yesno, canonical_name: answer}
-  HW7: {name: var7, type: bp, canonical_name: pressure}
-  HW8: {name: var8, shared_model: problem, canonical_name: problem}
-  HW9: {name: "Tribe 9", type: string, canonical_name: group, subject_ancestry: true}
-  HW10: {name: var10, type: string, canonical_name: secret text, suppress_reporting: true}
+  BO1: {name: crew no, type: string, canonical_name: crew number, subject_id: true}
+  BO2: {name: load, type: numeric, canonical_name: load in tons, bounds: {max: 45}, dependencies: {d1: {name: light, condition: "BO2 < 30", exclude_on_failure: [BO10], table_comparisons: [BO6]}}}
+  BO3: {name: coat, shared_model: coat, canonical_name: coat of paint}
+  BO4: {name: built, type: date, canonical_name: year of building}
+  BO5: {name: age, type: numeric, canonical_name: age, subject_age: true}
+  BO6: {name: licence, shared_model: licence, canonical_name: licence}
+  BO7: {name: gauge, type: bp, canonical_name: pressure}
+  BO8: {name: zone, shared_model: zone, canonical_name: zone}
+  BO9: {name: "Home tribe", type: string, canonical_name: group, subject_ancestry: true}
+  BO10: {name: remark, type: string, canonical_name: remark, suppress_reporting: true}
 derived:
-  D2: {name: twice more, type: numeric, code: "D1 * 2"}
-  D1: {name: double, type: numeric, code: "HW2 * 2", bounds: {max: 50}}
+  D2: {name: twice the rest, type: numeric, code: "D1 * 2"}
+  D1: {name: thrice the load, type: numeric, code: "BO2 * 3", bounds: {max: 60}}
 """
 MODELS = """
 models:
-  sex: {type: categorical, levels: {l1: {name: female, alternate_patterns: [f]}, l2: {name: male, alternate_patterns: [m]}}}
-  yesno: {type: categorical, levels: {l1: {name: "no"}, l2: {name: "yes"}}}
-  problem: {type: categorical_to_numeric, levels: {l1: {name: "10", alternate_patterns: ["1"]}, l2: {name: "20", alternate_patterns: ["2"]}, l3: {name: "30", alternate_patterns: ["3"]}}}
+  coat: {type: categorical, levels: {l1: {name: red, alternate_patterns: [r]}, l2: {name: blue, alternate_patterns: [b]}}}
+  licence: {type: categorical, levels: {l1: {name: lapsed}, l2: {name: held}}}
+  zone: {type: categorical_to_numeric, levels: {l1: {name: "5", alternate_patterns: [a]}, l2: {name: "7", alternate_patterns: [b]}, l3: {name: "9", alternate_patterns: [c]}}}
 """
 TABLE = [
-    ["var1", "var2", "var3", "var4", "var5", "var6", "var7", "var8", "Tribe 9", "var10", ""],
-    [" ID1 ", "10", "Female", "10-2006", "16", "yes", "180/90", "1", "hausa", 'green "apple', "x"],
-    ["id2", "20 kg", "m", "2001", "21", "no", "200 - 100", "2", "Fulany", "red apple", "x"],
-    ["id3", "30", "male", "1999", "23", "yes", "200", "2", "yoruba", "rhubarb", "x"],
-    ["id4", "NA", "female", "1990", "32", "perhaps", "#VALUE!", "3", "yoruba", "tort†lla", "x"],
-    ["id5", "40", "female", "1990", "32", "no", "180/80", "3", "baribari", "chips", "x"],
-    ["id6", "50", "male", "1989", "33", "yes", "180/80", "2", "yoruba", "berries", "x"],
-    ["id7", "50", "male", "1989", "12", "yes", "180/80", "2", "yoruba", "young", "x"],
+    ["crew no", "load", "coat", "built", "age", "licence", "gauge", "zone", "Home tribe", "remark", ""],
+    [" C01 ", "12", "Red", "03-2011", "21", "held", "121/77", "A", "delta", 'old "rope', "x"],
+    ["c02", "17 tons", "b", "2014", "40", "lapsed", "133 - 81", "b", "Harbor", "tallow", "x"],
+    ["c03", "35", "blue", "1987", "33", "held", "133", "b", "island", "oakum", "x"],
+    ["c04", "NA", "red", "1979", "52", "maybe", "#VALUE!", "c", "island", "tar†paper", "x"],
+    ["c05", "41", "red", "1979", "52", "lapsed", "118/70", "c", "reefs", "twine", "x"],
+    ["c06", "49", "blue", "1968", "61", "held", "118/70", "b", "island", "canvas", "x"],
+    ["c07", "49", "blue", "1968", "12", "held", "118/70", "b", "island", "pitch", "x"],
 ]
 
 
@@ -52,9 +52,9 @@ def folder(tmp_path_factory):
     (d / "data.tsv").write_text("\n".join("\t".join(r) for r in TABLE) + "\n", encoding="utf-8")
     (d / "dataset.yaml").write_text(DATASET)
     (d / "models.yaml").write_text(MODELS)
-    (d / "yes.txt").write_text("ID1\nid2\nid3 trailing\nid4\nid7\n")
-    (d / "no.txt").write_text("id5\n")
-    (d / "labels.txt").write_text("Hausa [Hausawa]\nFulani\nYoruba\n")
+    (d / "yes.txt").write_text("C01\nc02\nc03 trailing\nc04\nc07\n")
+    (d / "no.txt").write_text("c05\n")
+    (d / "labels.txt").write_text("Delta [Deltan]\nHarbour\nIsland\n")
     return d
 
 
@@ -65,29 +65,29 @@ def result(spark, folder):
 
 
 def test_end_to_end(result, folder):
-    got = {r.HW1: r.asDict() for r in result.output.collect()}
-    assert sorted(got) == ["id1", "id2", "id3", "id4"]
-    assert got["id1"] | {} == {"HW1": "id1", "HW2": 10.0, "HW3": "female", "HW4": 2006.0, "HW5": 16.0, "HW6": "yes", "HW7": "180/90", "HW8": 10.0, "HW9": "hausa", "HW10": 'green "apple', "D1": 20.0, "D2": 40.0}
-    assert got["id2"]["HW9"] == "fulani" and got["id2"]["HW7"] == "200/100" and got["id2"]["HW3"] == "male"
-    assert got["id3"]["HW7"] is None and got["id3"]["D1"] is None and got["id3"]["D2"] == 120.0  # bounds follow derivation
-    assert got["id3"]["HW10"] is None and got["id2"]["HW10"] == "red apple"  # 30 is not under 30
-    assert got["id4"]["HW2"] is None and got["id4"]["HW10"] == "tort†lla" and got["id4"]["HW6"] is None
-    assert {r.HW1: r.HW10 for r in result.df.collect()}["id3"] == "rhubarb"  # before rules
+    got = {r.BO1: r.asDict() for r in result.output.collect()}
+    assert sorted(got) == ["c01", "c02", "c03", "c04"]
+    assert got["c01"] | {} == {"BO1": "c01", "BO2": 12.0, "BO3": "red", "BO4": 2011.0, "BO5": 21.0, "BO6": "held", "BO7": "121/77", "BO8": 5.0, "BO9": "delta", "BO10": 'old "rope', "D1": 36.0, "D2": 72.0}
+    assert got["c02"]["BO9"] == "harbour" and got["c02"]["BO7"] == "133/81" and got["c02"]["BO3"] == "blue"
+    assert got["c03"]["BO7"] is None and got["c03"]["D1"] is None and got["c03"]["D2"] == 210.0  # bounds follow derivation
+    assert got["c03"]["BO10"] is None and got["c02"]["BO10"] == "tallow"  # 35 is not under 30
+    assert got["c04"]["BO2"] is None and got["c04"]["BO10"] == "tar†paper" and got["c04"]["BO6"] is None
+    assert {r.BO1: r.BO10 for r in result.df.collect()}["c03"] == "oakum"  # before rules
 
 
 def test_audit(result):
-    assert {r.variable: r.n for r in result.audit.excel.collect()} == {"HW7": 1}
-    assert [(r.variable, r.value) for r in result.audit.unicode.collect()] == [("HW10", "tort†lla")]
-    assert {r.variable: r.n for r in result.audit.wrong_by_variable.filter("n > 0").collect()} == {"HW6": 1, "HW7": 1}
+    assert {r.variable: r.n for r in result.audit.excel.collect()} == {"BO7": 1}
+    assert [(r.variable, r.value) for r in result.audit.unicode.collect()] == [("BO10", "tar†paper")]
+    assert {r.variable: r.n for r in result.audit.wrong_by_variable.filter("n > 0").collect()} == {"BO6": 1, "BO7": 1}
     assert tuple(result.audit.consent.first()) == (7, 1, 5)
-    assert [r[0] for r in result.audit.ambiguous.collect()] == ["id6"]
-    assert [(r.subject_id, r.dependency) for r in result.audit.failures.collect()] == [("id3", "d1")]
-    assert result.df.schema["HW3"].metadata["levels"] == ["female", "male"]
+    assert [r[0] for r in result.audit.ambiguous.collect()] == ["c06"]
+    assert [(r.subject_id, r.dependency) for r in result.audit.failures.collect()] == [("c03", "d1")]
+    assert result.df.schema["BO3"].metadata["levels"] == ["red", "blue"]
 
 
 def test_report_and_sinks(result, folder):
     html = report.render(result)
-    assert "small" in html and "HW2" in html and "green" not in html  # suppressed text is not shown
+    assert "light" in html and "BO2" in html and "rope" not in html  # suppressed text is not shown
     done = write.write(result, str(folder / "out.html"), stata=True, sas=True, yaml=True, parquet=True)
     assert len(done) == 6
     import glob
@@ -95,13 +95,13 @@ def test_report_and_sinks(result, folder):
     import pandas as pd
 
     lines = [x for f in sorted(glob.glob(str(folder / "out.tsv" / "part-*"))) for x in open(f, encoding="utf-8").read().splitlines()]
-    assert lines[0].split("\t")[:2] == ["HW1", "HW2"]
-    rows = {x.split("\t")[0]: x.split("\t") for x in lines if not x.startswith("HW1\t")}
-    assert rows["id1"][1] == "10" and rows["id4"][1] == "NA" and rows["id1"][9] == 'green "apple'
+    assert lines[0].split("\t")[:2] == ["BO1", "BO2"]
+    rows = {x.split("\t")[0]: x.split("\t") for x in lines if not x.startswith("BO1\t")}
+    assert rows["c01"][1] == "12" and rows["c04"][1] == "NA" and rows["c01"][9] == 'old "rope'
     assert len(pd.read_stata(folder / "out.dta")) == 4
     assert "proc format" in (folder / "out.sas").read_text() and len((folder / "out.sas.csv").read_text().splitlines()) == 4
     again = yaml.safe_load((folder / "out.yaml").read_text())
-    assert again["variables"]["D1"]["name"] == "D1" and again["variables"]["HW1"]["original.name"] == "var1"
+    assert again["variables"]["D1"]["name"] == "D1" and again["variables"]["BO1"]["original.name"] == "crew no"
     with pytest.raises(NotImplementedError):
         write.write(result, str(folder / "out2"), tsv=False, spss=True)
 
@@ -119,7 +119,7 @@ def test_stream(spark, folder):
     q = clean_stream(spark.readStream.schema(raw.schema).parquet(str(folder / "stream")), cfg).writeStream.format("memory").queryName("cleaned").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.HW1 for r in spark.table("cleaned").collect()) == ["id1", "id2", "id3", "id4", "id5", "id6"]
+    assert sorted(r.BO1 for r in spark.table("cleaned").collect()) == ["c01", "c02", "c03", "c04", "c05", "c06"]
 
 
 def test_config_errors(folder, spark):
@@ -139,9 +139,9 @@ def test_config_errors(folder, spark):
         read.bind_header(["a"], cfg)
     bad = config.build(config.resolve(d | {"derived": {"D9": {"name": "x", "code": "NOPE + 1"}}}, m))
     with pytest.raises(ConfigError, match="D9"):
-        pipeline.derive(spark.createDataFrame([("a",)], "HW1 string"), bad)
+        pipeline.derive(spark.createDataFrame([("a",)], "BO1 string"), bad)
     (folder / "no.txt").rename(folder / "no.bak")
-    (folder / "no.txt").write_text("id1\nid2\nid3\nid4\nid7\n")
+    (folder / "no.txt").write_text("c01\nc02\nc03\nc04\nc07\n")
     with pytest.raises(ConfigError, match="no subject"):
         pipeline.run(spark, str(folder / "data.tsv"), cfg, folder=str(folder))
     (folder / "no.bak").rename(folder / "no.txt")
@@ -156,7 +156,7 @@ def test_merge():
 def test_validation(folder, tmp_path):
     assert len(config.validate(str(folder / "dataset.yaml").replace("dataset", "dataset"), str(folder / "models.yaml"))) == 2
     d = yaml.safe_load(DATASET)
-    d["variables"]["HW3"] = {"name": "x", "shared-model": "sex", "canonical_name": "y"}
+    d["variables"]["BO3"] = {"name": "x", "shared-model": "coat", "canonical_name": "y"}
     (tmp_path / "bad.yaml").write_text(yaml.safe_dump(d))
     with pytest.raises(ConfigError, match="shared-model"):
         config.validate(str(tmp_path / "bad.yaml"), str(folder / "models.yaml"))
@@ -249,7 +249,7 @@ def test_form():
 
 def test_expand(tmp_path):
     old, _ = forms.compile_form(SURVEY, CHOICES, [h for h in HEAD if not h.endswith("_2") or h == "many_2"], "AB")
-    new, _ = forms.compile_form(SURVEY, CHOICES, HEAD, "WHOCARES")
+    new, _ = forms.compile_form(SURVEY, CHOICES, HEAD, "NEW")
     out = forms.expand(old, HEAD, new)
     assert [x["name"] for x in out["variables"].values()] == [h.replace("tribe", "ancestry") for h in HEAD]
     assert "AB00008_2" in out["variables"] and set(old["variables"]) <= set(out["variables"])
@@ -277,6 +277,29 @@ def test_xlsx(tmp_path):
         read.form_sheet(str(tmp_path / "f.xlsx"), "none")
 
 
+def test_derived_types():
+    """A derived variable has any type in any case but the one that needs raw levels."""
+    d = yaml.safe_load(DATASET)
+    for kind, good in (("Numeric", True), ("blood pressure", True), ("BP", True), ("categorical_to_numeric", False), ("other", False)):
+        d["derived"]["D1"]["type"] = kind
+        assert (not config.violations(d, config.DATASET_SCHEMA)) == good, kind
+    d["derived"]["D1"]["type"], d["variables"]["BO2"]["type"] = "numeric", "Categorical_To_Numeric"
+    assert not config.violations(d, config.DATASET_SCHEMA)
+
+
+def test_plan_grows_with_the_variables(spark):
+    """Each stage holds its input once, so plans are in proportion to the variables and generated code compiles."""
+    sizes = []
+    for n in (10, 200):
+        kinds = ("numeric", "date", "bp", "string")
+        d = {"tag": "V", "globals": {"min_age_for_inclusion": 1}, "variables": {"V0": {"name": "id", "type": "string", "canonical_name": "id", "subject_id": True}, "V1": {"name": "age", "type": "numeric", "canonical_name": "age", "subject_age": True}, **{f"V{i}": {"name": f"v{i}", "type": kinds[i % 4], "canonical_name": f"v{i}", "na-values": ["x"]} for i in range(2, n)}}}
+        cfg = config.build(config.resolve(d, {"models": {}}))
+        raw = spark.range(3).select(*[F.col("id").cast("string").alias(v.tag) for v in cfg.variables])
+        plan = pipeline.clean(raw, cfg).df._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(plan.count("regexp_"))
+    assert sizes[1] < 25 * sizes[0] and sizes[1] < 200 * 60
+
+
 def test_dictionary():
     assert parse_ok("Label One [Alt-A, alt  b]") == [("label one", "label one", 0), ("alt-a", "label one", 1), ("alt b", "label one", 2)]
     for bad in (["a:::b"], ["a", "A"]):
