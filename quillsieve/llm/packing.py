@@ -90,7 +90,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.fast = None
         if ranks := _ranks_of(path):
             import tiktoken
@@ -111,7 +112,10 @@ class Tokens:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> np.ndarray:
-        parts = [self.encode(c) for c in self.chunks(text)]
+        if self.special and self.special.search(text):  # added tokens have ids of their own, and may take what stands beside them
+            parts = [np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")]
+        else:
+            parts = [self.encode(c) for c in self.chunks(text)]
         return np.concatenate([*parts, np.array([END], "<u4")]).astype("<u4", copy=False)
 
 
@@ -131,6 +135,7 @@ def _tokenize(path: str, vocabulary: int):
         model = tokens_of(path)
         df = np.zeros(vocabulary, np.int64)
         one, two = _ranks(1, vocabulary), _ranks(2, vocabulary)
+        last = np.zeros(vocabulary, np.int64)  # where each id stood last in the text
         kind = None
         for b in batches:
             kind = b.schema.field("id").type
@@ -139,9 +144,12 @@ def _tokenize(path: str, vocabulary: int):
                 got = model.ids(x.as_py() or "")
                 ids.append(got.tobytes() if vocabulary > 1 << 16 else got.astype("<u2").tobytes())
                 n.append(len(got))
+                at = np.arange(len(got))
+                last[got] = at
+                got = got[last[got] == at]  # each id once
                 k1.append(int(one[got].min()))
                 k2.append(int(two[got].min()))
-                df[np.unique(got)] += 1
+                df[got] += 1
             rows = len(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), b.column("id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["kind", "id", "ids", "n", "k1", "k2"])
         at = np.flatnonzero(df)
@@ -155,14 +163,12 @@ class Shard:
     """BM25 inverted index over a block of documents, with corpus statistics."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        term, doc, tf = [], [], []
-        for d, x in enumerate(ids):
-            t, c = np.unique(x, return_counts=True)
-            term.append(t)
-            tf.append(c)
-            doc.append(np.full(len(t), d, np.int32))
-        term, doc, tf = np.concatenate(term).astype(np.int64), np.concatenate(doc), np.concatenate(tf).astype(np.float32)
-        length = np.array([len(x) for x in ids], np.float32)
+        n = np.array([len(x) for x in ids])
+        cells = np.sort(np.repeat(np.arange(len(ids)) << 32, n) | np.concatenate(ids).astype(np.int64))
+        edge = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        term, doc = cells[edge] & 0xFFFFFFFF, (cells[edge] >> 32).astype(np.int32)
+        tf = np.diff(np.r_[edge, len(cells)]).astype(np.float32)
+        length = n.astype(np.float32)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         # multiples of a power of two, so that sums are exact in any order and equal documents tie
         weight = np.rint(weight.astype(np.float64) * (1 << 20)) / (1 << 20)

@@ -4,6 +4,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillsieve.llm import packing
@@ -14,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -28,6 +29,22 @@ def test_ids_are_the_librarys(library, sample):
         assert mine.ids(text).tolist() == library(text), repr(text[:60])
 
 
+def test_added_tokens_have_their_own_ids(library):
+    got = packing.Tokens(PATH).ids("a <|endoftext|> b").tolist()
+    assert got == library("a <|endoftext|> b") and Tokenizer.from_file(PATH).token_to_id("<|endoftext|>") in got
+
+
+PARTS = st.characters(max_codepoint=0x24F) | st.sampled_from(["‐", "–", "—", "‘", "’", "“", "”", "•", "…", "€", "\t", "\n", "  ", "'s", "12", "ab", " "])
+SETTLED = st.lists(PARTS, max_size=60).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(SETTLED)
+def test_fast_encoder_gives_the_librarys_ids(text):
+    mine = packing.tokens_of(PATH)
+    assert mine.ids(text)[:-1].tolist() == mine.model.encode(text, add_special_tokens=False).ids
+
+
 def test_small_chunks_give_the_same(library, sample, monkeypatch):
     for size in (7, 200):
         monkeypatch.setattr(packing, "CHUNK", size)
