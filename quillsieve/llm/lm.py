@@ -4,23 +4,31 @@ Words become units: the ``HEAD`` most frequent training words, the end token
 among them, and ``TAIL`` hashed units for all other words.  A text's log10
 probability is the sum over its tokens of
 
-    log P(class | f1, f2, f12) + log P(unit | class, g1) + log P(word | unit)
+    log P(class | f1, f2, f12, w1) + log P(unit | class, g1, w1) + log P(word | unit)
 
 where f1 and g1 are hashed features of the word before, f2 of the one before
-that (a skip feature) and f12 of both (an n-gram feature).  The class softmax
-has a weight for each feature and class; the softmax within a class one for
-each feature and unit; a hashed unit shares its probability among its words by
+that (a skip feature), f12 of both (an n-gram feature) and w1 is the word before
+itself, hashed to 32 bits.  The class softmax has a weight for each feature and
+class, the softmax within a class one for each feature and unit.  Weights of w1
+exist for the pairs of neighbouring words that the training texts hold, so they
+are as many as those; a hashed unit shares its probability among its words by
 their smoothed counts, with one share for all unseen words.  Classes group
 units by the words they follow.
 
 Training.  The corpus is counted once: feature cells with their counts are a
-table that grows with the corpus up to all cells.  Each round sends the weights
-to the workers, every partition of the table returns its part of the gradient,
-and the summed gradient updates the weights.  The weights within classes are
-independent between features, so their rounds run where the cells are.
-
-Scoring works on batches: unit ids of all texts in one array, log probabilities
-gathered by sparse index, summed for each text.
+table that grows with the corpus up to all cells, pairs of neighbouring words
+one that grows without a bound.  Each round sends the weights of f1, f2
+and f12 to the workers, every partition of the table returns its part of the
+gradient, and the summed gradient updates the weights.  Those of g1 and w1 are
+independent between features, so their rounds run where the cells are, the rounds of w1
+with all other weights fixed; for the class softmax its expected counts
+take f2 and f12 by their mean over the corpus.  The weights of w1 are sharded by w1
+and never meet in one place.
+
+Scoring works on batches: tokens go to the shard of the word before, about
+``SHARD`` tokens each, where log probabilities are gathered by sparse index
+and summed for each text.  A shard with a frequent word is repeated, and its tokens are dealt
+out over the copies.
 
 Word counts.  Words are counted by 64-bit hashes over all training texts.  The
 most frequent ones, ``COUNTED`` at most, are sent to the workers; counts of all
@@ -57,7 +65,14 @@ GROUPS = 32  #: values of g1
 ROUNDS = 10
 ALPHA = 0.1  #: added to counts
 FOLDS = 10
+SHARD = 1 << 20  #: tokens in a shard
+HELD = 1 << 20  #: tokens that a task holds before it deals them out
+PRIOR = (0.08, 0.15)  #: strengths of the normal priors on weights of w1, for units and for classes
+WORD_ROUNDS = 16
+SPREAD = 4_000_000  #: codes for each hashed unit
 _BOS = UNITS  #: stands before a text
+_START = (1 << 32) - 1  #: its code
+_CELL = np.dtype([("ctx", "<u4"), ("unit", "<u2"), ("x", "<f4")])
 _END = xxhash.xxh64_intdigest(b" ")  #: no word holds a space
 
 
@@ -81,8 +96,8 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in b.column("text").cast(pa.large_binary())]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word hashes with counts; a task's are merged up to a bounded number."""
+def _distinct(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct 64-bit values with counts; a task's are merged up to a bounded number."""
     h, n, fresh, held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -90,22 +105,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(np.concatenate([h, every]), return_inverse=True)
         return keys, np.bincount(at, np.concatenate([n, first]), len(keys)).astype(np.int64)
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    for b in batches:
-        for t in _texts(b):
-            fresh.append(word_hashes(t))
-            held += len(fresh[-1])
-            if held > 1 << 21:
-                h, n = merged()
-                fresh, held = [], 0
-                if len(h) > 1 << 22:
-                    yield out()
-                    h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for part in parts:
+        fresh.append(part)
+        held += len(part)
+        if held > 1 << 21:
+            h, n = merged()
+            fresh, held = [], 0
+            if len(h) > 1 << 22:
+                yield h, n
+                h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     h, n = merged()
     if len(h):
-        yield out()
+        yield h, n
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for h, n in _distinct(word_hashes(t) for b in batches for t in _texts(b)):
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -131,8 +147,17 @@ def frequent(counts: DataFrame, most: int = COUNTED) -> tuple[np.ndarray, np.nda
     return h[order], n[order]
 
 
+def _tail_code(h: np.ndarray) -> np.ndarray:
+    """Codes of words outside the head: their unit is the remainder by ``TAIL``."""
+    return (np.uint64(HEAD) + np.uint64(TAIL) * ((h >> np.uint64(32)) % np.uint64(SPREAD)) + h % np.uint64(TAIL)).astype(np.int64)
+
+
+def unit_of(code: np.ndarray) -> np.ndarray:
+    return np.where(code < HEAD, code, np.where(code == _START, _BOS, HEAD + (code - HEAD) % TAIL))
+
+
 def _encode(known: np.ndarray, n: np.ndarray, unit: np.ndarray, share: np.ndarray, log_norm: float):
-    """Documents as unit ids, with what counts of frequent words give and the words still to be joined."""
+    """Documents as word codes, with what counts of frequent words give and the words still to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -148,7 +173,7 @@ def _encode(known: np.ndarray, n: np.ndarray, unit: np.ndarray, share: np.ndarra
                 rest, k = np.unique(h[~hit], return_counts=True)
                 inside = inner[at[hit]].sum() if len(known) else 0.0
                 inside -= share[own[~hit] - HEAD].sum()
-                for o, x in zip(out, (row, own.astype("<u2").tobytes(), len(h), int(hit.sum()), float((value[at[hit]].sum() if len(known) else 0.0) - log_norm * len(h)), float(inside), rest.view(np.int64), k), strict=True):
+                for o, x in zip(out, (row, np.where(own < HEAD, own, _tail_code(h)).astype("<u4").tobytes(), len(h), int(hit.sum()), float((value[at[hit]].sum() if len(known) else 0.0) - log_norm * len(h)), float(inside), rest.view(np.int64), k), strict=True):
                     o.append(x)
                 row += 1
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -157,17 +182,19 @@ def _encode(known: np.ndarray, n: np.ndarray, unit: np.ndarray, share: np.ndarra
     return run
 
 
-def _contexts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens in a batch: unit, the unit before, the one before that; each text's first token."""
-    parts = [np.frombuffer(x.as_buffer().to_pybytes(), "<u2") for x in b.column("units")]
-    u = np.concatenate(parts).astype(np.int64)
+def _contexts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens in a batch: unit, the unit before, the one before that, the code before; each text's first token."""
+    parts = [np.frombuffer(x.as_buffer().to_pybytes(), "<u4") for x in b.column("units")]
+    code = np.concatenate(parts).astype(np.int64)
+    u = unit_of(code)
     first = np.cumsum([0, *[len(x) for x in parts]])[:-1]
-    one, two = np.r_[_BOS, u[:-1]], np.r_[_BOS, _BOS, u[:-2]][: len(u)]
+    one, two, before = np.r_[_BOS, u[:-1]], np.r_[_BOS, _BOS, u[:-2]][: len(u)], np.r_[_START, code[:-1]]
     one[first] = _BOS
     two[first] = _BOS
+    before[first] = _START
     late = first + 1
     two[late[late < len(u)]] = _BOS
-    return u, one, two, first
+    return u, one, two, before, first
 
 
 def _cells(size: int, key):
@@ -177,7 +204,7 @@ def _cells(size: int, key):
         total = np.zeros(size, np.int64)
         for b in batches:
             if b.num_rows:
-                u, one, two, _ = _contexts(b)
+                u, one, two, _, _ = _contexts(b)
                 total += np.bincount(key(u, one, two), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
@@ -308,20 +335,187 @@ def train_units(cells: DataFrame, classes: np.ndarray, unit_counts: np.ndarray)
     return out
 
 
-def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray):
-    """Sum of log10 P(class) and log10 P(unit) over each text."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ctx, unit, n): units with the code before, one row for each pair and task."""
+
+    def keys() -> Iterator[np.ndarray]:
+        for b in batches:
+            if b.num_rows:
+                u, _, _, before, _ = _contexts(b)
+                yield (before << 15 | u).view(np.uint64)
+
+    for key, n in _distinct(keys()):
+        key = key.view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key >> 15), pa.array((key & 32767).astype(np.int32)), pa.array(n)], ["ctx", "unit", "n"])
+
+
+def fit_words(n: np.ndarray, base: np.ndarray, group: np.ndarray, prior: float, rounds: int = WORD_ROUNDS) -> np.ndarray:
+    """Weights x, by gradient rounds, of outcomes with counts ``n`` whose probability is base * exp(x) / z in their group.
+
+    Outcomes without a count keep ``base``, which sums to 1 with theirs.
+    """
+    total = np.bincount(group, n)[group]
+    rest = np.maximum(1.0 - np.bincount(group, base), 0.0)
+    x = np.zeros(len(n))
+    for _ in range(rounds):
+        p = base * np.exp(x)
+        model = total * p / (rest + np.bincount(group, p))[group]
+        x += (n - model - prior * x) / (np.maximum(n, model) + prior)
+    return x
+
+
+def _copies(hot: dict[int, int], shard: np.ndarray) -> np.ndarray:
+    """Number of copies of each shard."""
+    if not hot:
+        return np.ones(len(shard), np.int64)
+    names, many = np.array(list(hot)), np.array(list(hot.values()))
+    at = np.minimum(np.searchsorted(names, shard), len(names) - 1)
+    return np.where(names[at] == shard, many[at], 1)
+
+
+def _weights(within: np.ndarray, classes: np.ndarray, mean: np.ndarray, shards: int, hot: dict[int, int], prior: tuple[float, float]):
+    """Packed weights of w1 by shard, from (ctx, unit, n) sorted by shard and ctx; every copy of a shard gets its own.
+
+    A ctx with its units, ``UNITS`` at most, is fitted at once.
+    """
+
+    def fit(ctx: np.ndarray, u: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every, k = np.unique(ctx, return_inverse=True)
+        one = unit_of(every)
+        group, at = np.unique(k * CLASSES + classes[u], return_inverse=True)
+        x = fit_words(n, np.exp(within[feature(one, GROUPS)[k], u].astype(np.float64)), at, prior[0])
+        row, c = group // CLASSES, group % CLASSES
+        y = fit_words(np.bincount(at, n), mean[feature(one, FEATURES)[row], c], row, prior[1])
+        cells = np.empty(len(x) + len(y), _CELL)
+        cells["ctx"], cells["unit"], cells["x"] = np.r_[ctx, every[row]], np.r_[u, UNITS + c], np.r_[x, y]
+        shard = cells["ctx"].astype(np.int64) % shards
+        order = np.argsort(shard, kind="stable")
+        cells, shard = cells[order], shard[order]
+        edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        for a, e, copies in zip(edge, np.r_[edge[1:], len(cells)], _copies(hot, shard[edge]), strict=True):
+            for i in range(copies):
+                yield _dealt([shard[a] + shards * i], cells=[cells[a:e].tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("ctx", "unit", "n")])
+            size += b.num_rows
+            if size < 1 << 18:
+                continue
+            ctx, u, n = map(np.concatenate, zip(*held, strict=True))
+            cut = int(np.flatnonzero(ctx != ctx[-1])[-1]) + 1 if (ctx != ctx[-1]).any() else 0
+            if cut:
+                yield from fit(ctx[:cut], u[:cut], n[:cut])
+            held, size = [[ctx[cut:], u[cut:], n[cut:]]], len(ctx) - cut
+        if size:
+            yield from fit(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+_DEALT = "key long, cells binary, rows binary, sizes binary, ctx binary, two binary, unit binary"
+
+
+def _dealt(key: list[int], **have: list[bytes]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _DEALT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(have.get(c, [None] * len(key)), pa.binary()) for c in names[1:]]], names)
+
+
+def _deal(shards: int, hot: dict[int, int]):
+    """Tokens by shard: rows of the texts with the number of tokens that each has there, and the tokens."""
+
+    def flush(row, ctx, two, unit) -> Iterator[pa.RecordBatch]:
+        row, ctx, two, unit = map(np.concatenate, (row, ctx, two, unit))
+        shard = ctx % shards
+        key = shard + shards * (np.arange(len(shard)) % _copies(hot, shard))
+        order = np.argsort(key, kind="stable")
+        row, ctx, two, unit, key = (x[order] for x in (row, ctx, two, unit, key))
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        for a, e in zip(edge, np.r_[edge[1:], len(key)], strict=True):
+            texts = np.flatnonzero(np.r_[True, row[a + 1 : e] != row[a : e - 1]])
+            sizes = np.diff(np.r_[texts, e - a])
+            yield _dealt([key[a]], rows=[row[a:e][texts].astype("<i8").tobytes()], sizes=[sizes.astype("<u4").tobytes()], ctx=[ctx[a:e].astype("<u4").tobytes()], two=[two[a:e].astype("u1").tobytes()], unit=[unit[a:e].astype("<u2").tobytes()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
-                u, one, two, first = _contexts(b)
-                total = np.zeros(len(u))
-                for i in range(0, len(u), 1 << 18):
-                    z = slice(i, i + (1 << 18))
-                    total[z] = table[feature(one[z], FEATURES), feature(two[z], FEATURES), classes[u[z]]]
-                    total[z] += within[feature(one[z], GROUPS), u[z]]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "held_out", "row", "n_tokens", "hits", "base", "inside")], pa.array(np.add.reduceat(total, first) / math.log(10))], ["id", "held_out", "row", "n_tokens", "hits", "base", "inside", "outer"])
+                u, _, two, before, first = _contexts(b)
+                row = np.repeat(b.column("row").to_numpy(), np.diff(np.r_[first, len(u)]))
+                for i in range(0, len(u), HELD):
+                    z = slice(i, i + HELD)
+                    held.append((row[z], before[z], feature(two[z], FEATURES).astype(np.uint8), u[z].astype(np.uint16)))
+                    size += len(held[-1][0])
+                    if size >= HELD:
+                        yield from flush(*zip(*held, strict=True))
+                        held, size = [], 0
+        if size:
+            yield from flush(*zip(*held, strict=True))
+
+    return run
+
+
+class Shard:
+    """Weights of w1 for the words of a shard, with the normalizers within classes."""
+
+    def __init__(self, cells: np.ndarray, within: np.ndarray, classes: np.ndarray):
+        ctx, unit, x = cells["ctx"].astype(np.int64), cells["unit"].astype(np.int64), cells["x"].astype(np.float64)
+        self.ctx, k = np.unique(ctx, return_inverse=True)
+        self.outer = np.zeros((len(self.ctx) + 1, CLASSES), np.float32)  # the last row is that of words without weights
+        c = unit >= UNITS
+        self.outer[k[c], unit[c] - UNITS] = x[c]
+        k, unit, x = k[~c], unit[~c], x[~c]
+        p = np.exp(within[feature(unit_of(self.ctx), GROUPS)[k], unit].astype(np.float64))
+        z = np.bincount(k * CLASSES + classes[unit], p * np.expm1(x), len(self.outer) * CLASSES)
+        self.inner = np.log1p(z).astype(np.float32).reshape(-1, CLASSES)
+        self.pair = k * UNITS + unit
+        order = np.argsort(self.pair)
+        self.pair, self.x = np.r_[self.pair[order], np.int64(1) << 62], np.r_[x[order], 0.0]
+
+    def find(self, ctx: np.ndarray) -> np.ndarray:
+        none = len(self.ctx)
+        at = np.searchsorted(self.ctx, ctx)
+        return np.where(self.ctx[np.minimum(at, none - 1)] == ctx, at, none) if none else np.zeros(len(ctx), np.int64)
+
+    def weight(self, k: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        pair = k * UNITS + unit
+        at = np.searchsorted(self.pair, pair)
+        return np.where(self.pair[at] == pair, self.x[at], 0.0)
+
+
+def log_p(shard: Shard, table: np.ndarray, within: np.ndarray, classes: np.ndarray, ctx: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """log P(class) + log P(unit | class) of tokens after codes ``ctx`` and skip features ``two``."""
+    k, one, c = shard.find(ctx), unit_of(ctx), classes[unit]
+    z = table[feature(one, FEATURES), two] + shard.outer[k]
+    at = np.arange(len(unit))
+    got = (z[at, c] - np.log(np.exp(z).sum(axis=1))).astype(np.float64)
+    return got + within[feature(one, GROUPS), unit] + shard.weight(k, unit) - shard.inner[k, c]
+
+
+def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray):
+    """Sums of log10 P(class) and log10 P(unit) over the tokens that texts have in a shard, whose weights come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cells, shard = None, [], None
+        for batch in batches:
+            for key, packed, *rest in zip(*[c if i else c.to_pylist() for i, c in enumerate(batch.columns)], strict=True):
+                if key != now:
+                    now, cells, shard = key, [], None
+                if packed.is_valid:
+                    cells.append(np.frombuffer(packed.as_buffer(), _CELL))
+                    continue
+                if shard is None:
+                    shard = Shard(np.concatenate([np.empty(0, _CELL), *cells]), within, classes)
+                    cells = []
+                rows, sizes, ctx, two, unit = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(rest, ("<i8", "<u4", "<u4", "u1", "<u2"), strict=True))
+                total = np.empty(len(ctx))
+                for i in range(0, len(ctx), 1 << 15):
+                    z = slice(i, i + (1 << 15))
+                    total[z] = log_p(shard, table, within, classes, ctx[z].astype(np.int64), two[z], unit[z].astype(np.int64))
+                first = np.cumsum(np.r_[0, sizes.astype(np.int64)])[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(total, first) / math.log(10))], ["row", "outer"])
 
     return run
 
@@ -372,7 +566,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     f = np.arange(FEATURES * FEATURES)
     log_class = _log_softmax(class_logits(w, f // FEATURES, f % FEATURES)).astype(np.float32).reshape(FEATURES, FEATURES, CLASSES)
 
-    part = encoded.select("id", "held_out", "row", "units", "n_tokens", "hits", "base", "inside").mapInArrow(_score(log_class, within, classes), f"id {kind}, held_out boolean, row long, n_tokens long, hits long, base double, inside double, outer double")
+    got = cells.groupBy(F.floor(F.col("cell") / CLASSES).alias("f")).agg(F.sum("n").alias("n")).toArrow()  # FEATURES x FEATURES rows at most
+    share = np.full(FEATURES * FEATURES, 1e-3)
+    share[got.column("f").to_numpy()] += got.column("n").to_numpy()
+    mean = np.einsum("ab,abc->ac", share.reshape(FEATURES, FEATURES), np.exp(log_class.astype(np.float64))) / share.reshape(FEATURES, FEATURES).sum(axis=1)[:, None]
+
+    shards = max(8, int(tokens) // SHARD)
+    code = np.where(known[top] == _END, _START, np.arange(len(top)))  # as many texts start as end
+    names, at = np.unique(code % shards, return_inverse=True)
+    hot = {int(s): 1 + int(k) // (4 * SHARD) for s, k in zip(names, np.bincount(at, n[top], len(names)), strict=True) if k >= 4 * SHARD}
+    tasks = max(shards + sum(hot.values()), spark.sparkContext.defaultParallelism)
+    pairs = train.mapInArrow(_pairs, "ctx long, unit int, n long").withColumn("shard", F.col("ctx") % shards).repartition(tasks, "shard").groupBy("shard", "ctx", "unit").agg(F.sum("n").alias("n"))
+    weights = pairs.sortWithinPartitions("shard", "ctx").select("ctx", "unit", "n").mapInArrow(_weights(within, classes, mean, shards, hot, PRIOR), _DEALT)
+    texts = encoded.select("row", "units").mapInArrow(_deal(shards, hot), _DEALT)
+    dealt = weights.unionByName(texts).repartition(tasks, "key").sortWithinPartitions("key", F.col("cells").isNull())
+    sums = dealt.mapInArrow(_score(log_class, within, classes), "row long, outer double").groupBy("row").agg(F.sum("outer").alias("outer"))
+    part = encoded.drop("units", "rest", "times").join(sums, "row")
     rest = encoded.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("k"))
     joined = rest.join(counts, "h", "left")
     c = F.coalesce("n", F.lit(0))

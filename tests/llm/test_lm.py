@@ -87,3 +87,56 @@ def test_learns_order(make):
 def test_empty(make):
     assert lm.score(make([])).count() == 0
     assert lm.score(make([(1, None)])).first().n_tokens == 1
+
+
+def random_shard(seed=3, contexts=6):
+    """A shard with weights for some pairs, and tables as scoring uses them."""
+    rng = np.random.default_rng(seed)
+    classes = rng.integers(0, lm.CLASSES, lm.UNITS)
+    classes[: lm.CLASSES] = np.arange(lm.CLASSES)
+    within = rng.normal(size=(lm.GROUPS, lm.UNITS))
+    for c in range(lm.CLASSES):
+        within[:, classes == c] -= np.log(np.exp(within[:, classes == c]).sum(axis=1, keepdims=True))
+    table = lm._log_softmax(rng.normal(size=(lm.FEATURES, lm.FEATURES, lm.CLASSES)))
+    ctx = np.sort(rng.choice(lm.HEAD, contexts, replace=False))
+    cells = [(c, u, rng.normal()) for c in ctx for u in rng.choice(lm.UNITS + lm.CLASSES, 50, replace=False)]
+    return lm.Shard(np.array(cells, lm._CELL), within, classes), table, within, classes, ctx
+
+
+def test_word_weights_keep_probabilities_whole():
+    shard, table, within, classes, ctx = random_shard()
+    units = np.arange(lm.UNITS)
+    for c in [*ctx, lm.HEAD + 5, lm._START]:  # the last two have no weights
+        p = np.exp(lm.log_p(shard, table, within, classes, np.full(lm.UNITS, c), np.full(lm.UNITS, 7, np.uint8), units))
+        assert p.sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_fitted_weights_balance_their_prior():
+    """At the optimum, observed less expected counts are the prior's pull."""
+    rng = np.random.default_rng(5)
+    group = np.repeat(np.arange(40), 5)
+    base = rng.dirichlet(np.ones(8), 40)[:, :5].reshape(-1)
+    n = rng.integers(1, 30, 200).astype(float)
+    x = lm.fit_words(n, base, group, 0.1, rounds=600)
+    p = base * np.exp(x)
+    z = 1 - np.bincount(group, base) + np.bincount(group, p)
+    assert np.abs(n - np.bincount(group, n)[group] * p / z[group] - 0.1 * x).max() < 0.5
+
+
+def test_pairs_of_any_number_of_words_are_learned(make):
+    """Each of many words has a follower of its own; most lie outside the values of f1."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"k{x} v{x}" for x in rng.integers(0, 2000, 100))) for i in range(1, 400)]
+    held = [r for r in lm.score(make(rows)).collect() if r.held_out]
+    # about half of the tokens can be foretold
+    assert held and all(r.score > 0.75 * r.base_score for r in held)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 512])
+def test_shards_change_no_score(make, sample, monkeypatch, most):
+    """Many small shards, with copies of those that hold frequent words, give what few give."""
+    rows = sample[:150]
+    want = {r.doc_id: r.score for r in lm.score(make(rows)).collect()}
+    monkeypatch.setattr(lm, "SHARD", most)
+    got = {r.doc_id: r.score for r in lm.score(make(rows)).collect()}
+    assert got == pytest.approx(want, rel=1e-3)
