@@ -25,10 +25,10 @@ with all other weights fixed; for the class softmax its expected counts
 take f2 and f12 by their mean over the corpus.  The weights of w1 are sharded by w1
 and never meet in one place.
 
-Scoring works on batches: tokens go to the shard of the word before, about
-``SHARD`` tokens each, where log probabilities are gathered by sparse index
-and summed for each text.  A shard with a frequent word is repeated, and its tokens are dealt
-out over the copies.
+Scoring works on batches: tokens go once to the shard of the word before, about
+``SHARD`` tokens each, where the weights of w1 are fitted, and log probabilities gathered by sparse index
+and summed for each text.  Words with ``SHARD`` tokens or more are counted and fitted before; their
+tokens are dealt out over copies of their weights, ``UNITS`` each at most.
 
 Word counts.  Words are counted by 64-bit hashes over all training texts.  The
 most frequent ones, ``COUNTED`` at most, are sent to the workers; counts of all
@@ -335,18 +335,22 @@ def train_units(cells: DataFrame, classes: np.ndarray, unit_counts: np.ndarray)
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ctx, unit, n): units with the code before, one row for each pair and task."""
+def _pairs(hot: np.ndarray):
+    """(ctx, unit, n): units with the code before, where that is frequent; one row for each pair and task."""
 
-    def keys() -> Iterator[np.ndarray]:
-        for b in batches:
-            if b.num_rows:
-                u, _, _, before, _ = _contexts(b)
-                yield (before << 15 | u).view(np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys() -> Iterator[np.ndarray]:
+            for b in batches:
+                if b.num_rows:
+                    u, _, _, before, _ = _contexts(b)
+                    mine = np.isin(before, hot)
+                    yield (before[mine] << 15 | u[mine]).view(np.uint64)
 
-    for key, n in _distinct(keys()):
-        key = key.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key >> 15), pa.array((key & 32767).astype(np.int32)), pa.array(n)], ["ctx", "unit", "n"])
+        for key, n in _distinct(keys()):
+            key = key.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 15), pa.array(key & 32767), pa.array(n)], ["ctx", "unit", "n"])
+
+    return run
 
 
 def fit_words(n: np.ndarray, base: np.ndarray, group: np.ndarray, prior: float, rounds: int = WORD_ROUNDS) -> np.ndarray:
@@ -364,52 +368,67 @@ def fit_words(n: np.ndarray, base: np.ndarray, group: np.ndarray, prior: float,
     return x
 
 
-def _copies(hot: dict[int, int], shard: np.ndarray) -> np.ndarray:
-    """Number of copies of each shard."""
-    if not hot:
-        return np.ones(len(shard), np.int64)
-    names, many = np.array(list(hot)), np.array(list(hot.values()))
-    at = np.minimum(np.searchsorted(names, shard), len(names) - 1)
-    return np.where(names[at] == shard, many[at], 1)
+def fit_shard(ctx: np.ndarray, u: np.ndarray, n: np.ndarray, within: np.ndarray, classes: np.ndarray, mean: np.ndarray, prior: tuple[float, float]) -> np.ndarray:
+    """Weights of w1, for units and for classes, from counts of distinct pairs."""
+    every, k = np.unique(ctx, return_inverse=True)
+    one = unit_of(every)
+    group, at = np.unique(k * CLASSES + classes[u], return_inverse=True)
+    x = fit_words(n, np.exp(within[feature(one, GROUPS)[k], u].astype(np.float64)), at, prior[0])
+    row, c = group // CLASSES, group % CLASSES
+    y = fit_words(np.bincount(at, n), mean[feature(one, FEATURES)[row], c], row, prior[1])
+    cells = np.empty(len(x) + len(y), _CELL)
+    cells["ctx"], cells["unit"], cells["x"] = np.r_[ctx, every[row]], np.r_[u, UNITS + c], np.r_[x, y]
+    return cells
 
 
-def _weights(within: np.ndarray, classes: np.ndarray, mean: np.ndarray, shards: int, hot: dict[int, int], prior: tuple[float, float]):
-    """Packed weights of w1 by shard, from (ctx, unit, n) sorted by shard and ctx; every copy of a shard gets its own.
+class Deal:
+    """Where tokens go: to the shard of the code before, or to one of the copies of a frequent code.
 
-    A ctx with its units, ``UNITS`` at most, is fitted at once.
+    ``codes`` have ``SHARD`` tokens or more each, ``counts`` are theirs.
     """
 
-    def fit(ctx: np.ndarray, u: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        every, k = np.unique(ctx, return_inverse=True)
-        one = unit_of(every)
-        group, at = np.unique(k * CLASSES + classes[u], return_inverse=True)
-        x = fit_words(n, np.exp(within[feature(one, GROUPS)[k], u].astype(np.float64)), at, prior[0])
-        row, c = group // CLASSES, group % CLASSES
-        y = fit_words(np.bincount(at, n), mean[feature(one, FEATURES)[row], c], row, prior[1])
-        cells = np.empty(len(x) + len(y), _CELL)
-        cells["ctx"], cells["unit"], cells["x"] = np.r_[ctx, every[row]], np.r_[u, UNITS + c], np.r_[x, y]
-        shard = cells["ctx"].astype(np.int64) % shards
-        order = np.argsort(shard, kind="stable")
-        cells, shard = cells[order], shard[order]
-        edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-        for a, e, copies in zip(edge, np.r_[edge[1:], len(cells)], _copies(hot, shard[edge]), strict=True):
-            for i in range(copies):
-                yield _dealt([shard[a] + shards * i], cells=[cells[a:e].tobytes()])
+    def __init__(self, tokens: int, codes: np.ndarray, counts: np.ndarray, size: int):
+        self.shards = max(8, tokens // size)
+        self.codes, at = np.unique(codes, return_inverse=True)
+        counts = np.bincount(at, counts, len(self.codes)).astype(np.int64)
+        hot = counts >= size
+        self.codes = self.codes[hot]
+        self.copies = -(-counts[hot] // size)
+        self.first = self.shards + np.cumsum(self.copies) - self.copies
+        self.keys = self.shards + int(self.copies.sum())
+
+    def of(self, ctx: np.ndarray) -> np.ndarray:
+        key = ctx % self.shards
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, ctx), len(self.codes) - 1)
+            hit = np.flatnonzero(self.codes[at] == ctx)
+            key[hit] = self.first[at[hit]] + hit % self.copies[at[hit]]
+        return key
+
+
+def _weights(deal: Deal, within: np.ndarray, classes: np.ndarray, mean: np.ndarray, prior: tuple[float, float]):
+    """Packed weights of frequent codes for each of their copies, from (ctx, unit, n) sorted by ctx, ``UNITS`` rows each at most."""
+
+    def fit(ctx: int, held: list) -> Iterator[pa.RecordBatch]:
+        u, n = map(np.concatenate, zip(*held, strict=True))
+        cells = fit_shard(np.full(len(u), ctx), u, n, within, classes, mean, prior).tobytes()
+        at = int(np.searchsorted(deal.codes, ctx))
+        for i in range(deal.copies[at]):
+            yield _dealt([deal.first[at] + i], cells=[cells])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        now, held = None, []
         for b in batches:
-            held.append([b.column(c).to_numpy() for c in ("ctx", "unit", "n")])
-            size += b.num_rows
-            if size < 1 << 18:
-                continue
-            ctx, u, n = map(np.concatenate, zip(*held, strict=True))
-            cut = int(np.flatnonzero(ctx != ctx[-1])[-1]) + 1 if (ctx != ctx[-1]).any() else 0
-            if cut:
-                yield from fit(ctx[:cut], u[:cut], n[:cut])
-            held, size = [[ctx[cut:], u[cut:], n[cut:]]], len(ctx) - cut
-        if size:
-            yield from fit(*map(np.concatenate, zip(*held, strict=True)))
+            ctx, u, n = (b.column(c).to_numpy() for c in ("ctx", "unit", "n"))
+            edge = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else []
+            for a, e in zip(edge, [*edge[1:], len(ctx)], strict=True):
+                if ctx[a] != now and held:
+                    yield from fit(now, held)
+                    held = []
+                now = int(ctx[a])
+                held.append((u[a:e], n[a:e]))
+        if held:
+            yield from fit(now, held)
 
     return run
 
@@ -422,19 +441,18 @@ def _dealt(key: list[int], **have: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(have.get(c, [None] * len(key)), pa.binary()) for c in names[1:]]], names)
 
 
-def _deal(shards: int, hot: dict[int, int]):
-    """Tokens by shard: rows of the texts with the number of tokens that each has there, and the tokens."""
+def _deal(deal: Deal):
+    """Tokens by key: rows of the texts with the number of tokens that each has there (twice, and one more if held out), and the tokens."""
 
-    def flush(row, ctx, two, unit) -> Iterator[pa.RecordBatch]:
-        row, ctx, two, unit = map(np.concatenate, (row, ctx, two, unit))
-        shard = ctx % shards
-        key = shard + shards * (np.arange(len(shard)) % _copies(hot, shard))
+    def flush(row, held_out, ctx, two, unit) -> Iterator[pa.RecordBatch]:
+        row, held_out, ctx, two, unit = map(np.concatenate, (row, held_out, ctx, two, unit))
+        key = deal.of(ctx)
         order = np.argsort(key, kind="stable")
-        row, ctx, two, unit, key = (x[order] for x in (row, ctx, two, unit, key))
+        row, held_out, ctx, two, unit, key = (x[order] for x in (row, held_out, ctx, two, unit, key))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for a, e in zip(edge, np.r_[edge[1:], len(key)], strict=True):
             texts = np.flatnonzero(np.r_[True, row[a + 1 : e] != row[a : e - 1]])
-            sizes = np.diff(np.r_[texts, e - a])
+            sizes = np.diff(np.r_[texts, e - a]) * 2 + held_out[a:e][texts]
             yield _dealt([key[a]], rows=[row[a:e][texts].astype("<i8").tobytes()], sizes=[sizes.astype("<u4").tobytes()], ctx=[ctx[a:e].astype("<u4").tobytes()], two=[two[a:e].astype("u1").tobytes()], unit=[unit[a:e].astype("<u2").tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,10 +461,11 @@ def _deal(shards: int, hot: dict[int, int]):
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
                 u, _, two, before, first = _contexts(b)
-                row = np.repeat(b.column("row").to_numpy(), np.diff(np.r_[first, len(u)]))
+                many = np.diff(np.r_[first, len(u)])
+                row, out = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), many) for c in ("row", "held_out"))
                 for i in range(0, len(u), HELD):
                     z = slice(i, i + HELD)
-                    held.append((row[z], before[z], feature(two[z], FEATURES).astype(np.uint8), u[z].astype(np.uint16)))
+                    held.append((row[z], out[z], before[z], feature(two[z], FEATURES).astype(np.uint8), u[z].astype(np.uint16)))
                     size += len(held[-1][0])
                     if size >= HELD:
                         yield from flush(*zip(*held, strict=True))
@@ -494,28 +513,43 @@ def log_p(shard: Shard, table: np.ndarray, within: np.ndarray, classes: np.ndarr
     return got + within[feature(one, GROUPS), unit] + shard.weight(k, unit) - shard.inner[k, c]
 
 
-def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray):
-    """Sums of log10 P(class) and log10 P(unit) over the tokens that texts have in a shard, whose weights come first."""
+def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray, mean: np.ndarray, prior: tuple[float, float]):
+    """Sums of log10 P(class) and log10 P(unit) over the tokens that texts have in a shard.
+
+    The weights of a shard are fitted on its training tokens, those of a copy of a frequent code have come with it.
+    """
+    kinds = {"rows": "<i8", "sizes": "<u4", "ctx": "<u4", "two": "u1", "unit": "<u2"}
+
+    def judge(cells: list[np.ndarray], chunks: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not cells:
+            learn = [(ctx.astype(np.int64) << 15 | unit)[np.repeat(sizes % 2 == 0, sizes // 2)] for _, sizes, ctx, _, unit in chunks]
+            pair, n = np.unique(np.concatenate(learn), return_counts=True)
+            del learn
+            cells = [fit_shard(pair >> 15, pair & 32767, n, within, classes, mean, prior)]
+        shard = Shard(np.concatenate(cells), within, classes)
+        for rows, sizes, ctx, two, unit in chunks:
+            total = np.empty(len(ctx))
+            for i in range(0, len(ctx), 1 << 15):
+                z = slice(i, i + (1 << 15))
+                total[z] = log_p(shard, table, within, classes, ctx[z].astype(np.int64), two[z], unit[z].astype(np.int64))
+            first = np.cumsum(np.r_[0, sizes.astype(np.int64) // 2])[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(total, first) / math.log(10))], ["row", "outer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cells, shard = None, [], None
-        for batch in batches:
-            for key, packed, *rest in zip(*[c if i else c.to_pylist() for i, c in enumerate(batch.columns)], strict=True):
+        now, cells, chunks = None, [], []
+        for b in batches:
+            for i, key in enumerate(b.column("key").to_pylist()):
+                if key != now and chunks:
+                    yield from judge(cells, chunks)
                 if key != now:
-                    now, cells, shard = key, [], None
+                    now, cells, chunks = key, [], []
+                packed = b.column("cells")[i]
                 if packed.is_valid:
-                    cells.append(np.frombuffer(packed.as_buffer(), _CELL))
-                    continue
-                if shard is None:
-                    shard = Shard(np.concatenate([np.empty(0, _CELL), *cells]), within, classes)
-                    cells = []
-                rows, sizes, ctx, two, unit = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(rest, ("<i8", "<u4", "<u4", "u1", "<u2"), strict=True))
-                total = np.empty(len(ctx))
-                for i in range(0, len(ctx), 1 << 15):
-                    z = slice(i, i + (1 << 15))
-                    total[z] = log_p(shard, table, within, classes, ctx[z].astype(np.int64), two[z], unit[z].astype(np.int64))
-                first = np.cumsum(np.r_[0, sizes.astype(np.int64)])[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(total, first) / math.log(10))], ["row", "outer"])
+                    cells.append(np.frombuffer(packed.as_buffer(), _CELL).copy())
+                else:
+                    chunks.append(tuple(np.frombuffer(b.column(c)[i].as_buffer(), kind).copy() for c, kind in kinds.items()))
+        if chunks:
+            yield from judge(cells, chunks)
 
     return run
 
@@ -571,16 +605,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     share[got.column("f").to_numpy()] += got.column("n").to_numpy()
     mean = np.einsum("ab,abc->ac", share.reshape(FEATURES, FEATURES), np.exp(log_class.astype(np.float64))) / share.reshape(FEATURES, FEATURES).sum(axis=1)[:, None]
 
-    shards = max(8, int(tokens) // SHARD)
-    code = np.where(known[top] == _END, _START, np.arange(len(top)))  # as many texts start as end
-    names, at = np.unique(code % shards, return_inverse=True)
-    hot = {int(s): 1 + int(k) // (4 * SHARD) for s, k in zip(names, np.bincount(at, n[top], len(names)), strict=True) if k >= 4 * SHARD}
-    tasks = max(shards + sum(hot.values()), spark.sparkContext.defaultParallelism)
-    pairs = train.mapInArrow(_pairs, "ctx long, unit int, n long").withColumn("shard", F.col("ctx") % shards).repartition(tasks, "shard").groupBy("shard", "ctx", "unit").agg(F.sum("n").alias("n"))
-    weights = pairs.sortWithinPartitions("shard", "ctx").select("ctx", "unit", "n").mapInArrow(_weights(within, classes, mean, shards, hot, PRIOR), _DEALT)
-    texts = encoded.select("row", "units").mapInArrow(_deal(shards, hot), _DEALT)
-    dealt = weights.unionByName(texts).repartition(tasks, "key").sortWithinPartitions("key", F.col("cells").isNull())
-    sums = dealt.mapInArrow(_score(log_class, within, classes), "row long, outer double").groupBy("row").agg(F.sum("outer").alias("outer"))
+    codes = np.where(unit < HEAD, unit, _tail_code(known))
+    codes[known == _END] = _START  # as many texts start as end
+    deal = Deal(int(tokens), codes, n, SHARD)
+    tasks = max(deal.keys, spark.sparkContext.defaultParallelism)
+    dealt = encoded.select("row", "held_out", "units").mapInArrow(_deal(deal), _DEALT)
+    if len(deal.codes):
+        pairs = train.mapInArrow(_pairs(deal.codes), "ctx long, unit long, n long").repartition("ctx").groupBy("ctx", "unit").agg(F.sum("n").alias("n")).sortWithinPartitions("ctx")
+        dealt = dealt.unionByName(pairs.mapInArrow(_weights(deal, within, classes, mean, PRIOR), _DEALT))
+    dealt = dealt.repartition(tasks, "key").sortWithinPartitions("key", F.col("cells").isNull())
+    sums = dealt.mapInArrow(_score(log_class, within, classes, mean, PRIOR), "row long, outer double").groupBy("row").agg(F.sum("outer").alias("outer"))
     part = encoded.drop("units", "rest", "times").join(sums, "row")
     rest = encoded.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("k"))
     joined = rest.join(counts, "h", "left")

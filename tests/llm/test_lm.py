@@ -49,9 +49,9 @@ def lm_tables(train):
     made = {}
     keep = lm._score
 
-    def spy(table, within, classes):
+    def spy(table, within, classes, *more):
         made["t"] = (table, within, classes)
-        return keep(table, within, classes)
+        return keep(table, within, classes, *more)
 
     lm._score = spy
     try:
