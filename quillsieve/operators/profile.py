@@ -133,3 +133,17 @@ def bmi_pairs(df: DataFrame, bmi: str, weight: str, height: str) -> DataFrame:
 
 def pressure_pairs(df: DataFrame, systolic: str, diastolic: str) -> DataFrame:
     return df.select(F.col(f"`{systolic}`").cast("double").alias("systolic"), F.col(f"`{diastolic}`").cast("double").alias("diastolic")).dropna()
+
+
+def grid(pairs: DataFrame, x: str, y: str, steps: int = 60) -> DataFrame:
+    """(i, j, x, y, n): pairs of known values by cells of a grid from the least values on, the least values of each cell with them.
+
+    Every pair is counted, and there are ``steps`` squared rows at most, however many the pairs.
+    """
+    known = pairs.select(F.col(f"`{x}`").cast("double").alias("a"), F.col(f"`{y}`").cast("double").alias("b")).dropna()
+    width = lambda c: ((F.max(c) - F.min(c)) / steps).alias(f"w{c}")
+    ends = known.agg(F.min("a").alias("la"), width("a"), F.min("b").alias("lb"), width("b"))
+    step = lambda c: F.when(F.col(f"w{c}") > 0, F.least(F.lit(steps - 1), F.floor((F.col(c) - F.col(f"l{c}")) / F.col(f"w{c}")))).otherwise(F.lit(0)).cast("long")
+    placed = known.crossJoin(F.broadcast(ends))  # one row
+    out = placed.groupBy(step("a").alias("i"), step("b").alias("j")).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("la", "wa", "lb", "wb")])
+    return out.select("i", "j", (F.col("la") + F.col("i") * F.col("wa")).alias("x"), (F.col("lb") + F.col("j") * F.col("wb")).alias("y"), "n")

@@ -51,6 +51,12 @@ def by_missing_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.filter(F.col(f"`{id_col}`").isNotNull())
 
 
+def exclusion_counts(df: DataFrame, id_col: str, age_col: str | None = None, least: float | None = None) -> DataFrame:
+    """One row: rows that ``by_age`` takes out, and those of the others that ``by_missing_id`` does."""
+    old = F.lit(True) if least is None else F.coalesce(F.col(f"`{age_col}`") >= least, F.lit(False))
+    return df.agg(F.count_if(~old).alias("n_age"), F.count_if(old & F.col(f"`{id_col}`").isNull()).alias("n_id"))
+
+
 def by_metric(df: DataFrame, id_col: str, metric: DataFrame, most: float | None) -> DataFrame:
     """Rows whose id's metric, the second column of ``metric``, is not over ``most``; unlisted ids have 0."""
     if most is None:

@@ -37,6 +37,7 @@ class Audit:
     labels: Mapping[str, DataFrame]
     failures: DataFrame | None
     scalar: Mapping[str, DataFrame]
+    excluded: DataFrame
 
 
 @dataclass(frozen=True)
@@ -163,6 +164,7 @@ def clean(raw: DataFrame, cfg: Dataset, dictionary: DataFrame | None = None, inc
     by_variable = profile.wrong_type_by_variable(both, flags)
 
     df = both.select(*[F.col(v.tag) for v in cfg.variables])
+    excluded = rows.exclusion_counts(df, sid, None if cfg.min_age is None else cfg.age_variable.tag, cfg.min_age)
     if cfg.min_age is not None:
         df = rows.by_age(df, cfg.age_variable.tag, cfg.min_age)
     df = rows.by_missing_id(df, sid)
@@ -196,6 +198,7 @@ def clean(raw: DataFrame, cfg: Dataset, dictionary: DataFrame | None = None, inc
         labels=label_reports,
         failures=depend.failures(df, sid, rules) if rules else None,
         scalar={k: df.select(c.value.alias("holds")).limit(1) for k, c in scalar.items()},
+        excluded=excluded,
     )
     return Result(cfg, df, output, audit, tuple(rules))
 

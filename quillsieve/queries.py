@@ -384,6 +384,9 @@ add("unique_suppression", "orders", "o_orderkey, o_orderstatus, o_custkey", lamb
 add("linked_date_pairs", "orders", "o_orderkey, nullif(year(o_orderdate), 1995) AS y, CAST(o_orderkey % 60 AS DOUBLE) AS age", lambda d: profile.year_pairs(d, "age", "y", F.lit(2020)), "SELECT age AS reported, CAST(2020 - y AS DOUBLE) AS computed FROM t WHERE y IS NOT NULL")
 add("bmi_pairs", "lineitem", DEP, lambda d: profile.bmi_pairs(d, "x", "w", "y"), "SELECT x AS reported, w / (y * y) AS computed FROM t WHERE x IS NOT NULL AND w IS NOT NULL AND y IS NOT NULL AND y <> 0")
 add("bp_pairs", "lineitem", DEP, lambda d: profile.pressure_pairs(d, "w", "x"), "SELECT w AS systolic, x AS diastolic FROM t WHERE w IS NOT NULL AND x IS NOT NULL")
+_cell = lambda c: f"CASE WHEN w{c} > 0 THEN CAST(least(59, floor(({c} - l{c}) / w{c})) AS BIGINT) ELSE 0 END"
+add("linked_date_grid", "orders", "o_orderkey, CAST(nullif(year(o_orderdate), 1995) AS DOUBLE) AS y, CAST(o_orderkey % 77 AS DOUBLE) AS age", lambda d: profile.grid(d, "age", "y"), f"WITH k AS (SELECT age AS a, y AS b FROM t WHERE y IS NOT NULL AND age IS NOT NULL), e AS (SELECT min(a) AS la, (max(a) - min(a)) / 60 AS wa, min(b) AS lb, (max(b) - min(b)) / 60 AS wb FROM k), p AS (SELECT {_cell('a')} AS i, {_cell('b')} AS j, la, wa, lb, wb FROM k, e) SELECT i, j, min(la) + i * min(wa) AS x, min(lb) + j * min(wb) AS y, count(*) AS n FROM p GROUP BY i, j")
+add("exclusion_counts", "orders", "nullif(o_custkey, 4) AS id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 60 END AS age", lambda d: rows.exclusion_counts(d, "id", "age", 18), "SELECT count(*) FILTER (WHERE age IS NULL OR age < 18) AS n_age, count(*) FILTER (WHERE age >= 18 AND id IS NULL) AS n_id FROM t")
 add("bounds_report", "events", "event_id, value", lambda d: rows.bounds_counts(d, {"value": {"min": 5, "max": 50}}), "SELECT 'value' AS variable, count(*) FILTER (WHERE value < 5) AS n_below, count(*) FILTER (WHERE value > 50) AS n_above, CAST(0 AS BIGINT) AS n_beyond_sd FROM t")
 
 # ---- the whole plan ----------------------------------------------------------------------------
