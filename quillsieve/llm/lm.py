@@ -67,6 +67,7 @@ ALPHA = 0.1  #: added to counts
 FOLDS = 10
 SHARD = 1 << 20  #: tokens in a shard
 HELD = 1 << 20  #: tokens that a task holds before it deals them out
+TEXTS = 1 << 14  #: texts whose sums come back together; rows of one task are numbered from a multiple of it
 PRIOR = (0.08, 0.15)  #: strengths of the normal priors on weights of w1, for units and for classes
 WORD_ROUNDS = 16
 SPREAD = 4_000_000  #: codes for each hashed unit
@@ -527,13 +528,20 @@ def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray, mean: np.
             del learn
             cells = [fit_shard(pair >> 15, pair & 32767, n, within, classes, mean, prior)]
         shard = Shard(np.concatenate(cells), within, classes)
+        got = []
         for rows, sizes, ctx, two, unit in chunks:
             total = np.empty(len(ctx))
             for i in range(0, len(ctx), 1 << 15):
                 z = slice(i, i + (1 << 15))
                 total[z] = log_p(shard, table, within, classes, ctx[z].astype(np.int64), two[z], unit[z].astype(np.int64))
             first = np.cumsum(np.r_[0, sizes.astype(np.int64) // 2])[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(total, first) / math.log(10))], ["row", "outer"])
+            got.append((rows, np.add.reduceat(total, first) / math.log(10)))
+        rows, at = np.unique(np.concatenate([r for r, _ in got]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([x for _, x in got]), len(rows))
+        edge = np.flatnonzero(np.r_[True, rows[1:] // TEXTS != rows[:-1] // TEXTS])
+        ranges = list(zip(edge, np.r_[edge[1:], len(rows)], strict=True))
+        packed = [[(rows[a:e] % TEXTS).astype("<u4").tobytes() for a, e in ranges], [sums[a:e].astype("<f8").tobytes() for a, e in ranges]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[edge] // TEXTS), *[pa.array(x, pa.binary()) for x in packed]], ["range", "at", "outer"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cells, chunks = None, [], []
@@ -554,6 +562,27 @@ def _score(table: np.ndarray, within: np.ndarray, classes: np.ndarray, mean: np.
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, outer) from sums of ``TEXTS`` rows each, sorted by range."""
+    now, total, seen = None, np.zeros(TEXTS), np.zeros(TEXTS, bool)
+
+    def out() -> pa.RecordBatch:
+        at = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array(now * TEXTS + at), pa.array(total[at])], ["row", "outer"])
+
+    for b in batches:
+        for key, at, sums in zip(b.column("range").to_pylist(), b.column("at"), b.column("outer"), strict=True):
+            if key != now:
+                if now is not None:
+                    yield out()
+                now, total[:], seen[:] = key, 0.0, False
+            at = np.frombuffer(at.as_buffer(), "<u4")
+            total[at] += np.frombuffer(sums.as_buffer(), "<f8")
+            seen[at] = True
+    if now is not None:
+        yield out()
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
@@ -614,7 +643,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         pairs = train.mapInArrow(_pairs(deal.codes), "ctx long, unit long, n long").repartition("ctx").groupBy("ctx", "unit").agg(F.sum("n").alias("n")).sortWithinPartitions("ctx")
         dealt = dealt.unionByName(pairs.mapInArrow(_weights(deal, within, classes, mean, PRIOR), _DEALT))
     dealt = dealt.repartition(tasks, "key").sortWithinPartitions("key", F.col("cells").isNull())
-    sums = dealt.mapInArrow(_score(log_class, within, classes, mean, PRIOR), "row long, outer double").groupBy("row").agg(F.sum("outer").alias("outer"))
+    sums = dealt.mapInArrow(_score(log_class, within, classes, mean, PRIOR), "range long, at binary, outer binary")
+    sums = sums.repartition("range").sortWithinPartitions("range").mapInArrow(_add_up, "row long, outer double")
     part = encoded.drop("units", "rest", "times").join(sums, "row")
     rest = encoded.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("k"))
     joined = rest.join(counts, "h", "left")
