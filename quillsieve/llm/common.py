@@ -110,13 +110,24 @@ def value_bytes(df: DataFrame) -> tuple[int, int]:
     return int(n), int(b)
 
 
+def merged_if_large(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` as a side of a join, never broadcast if its values, or ``rows`` rows of two longs, take over ``limit`` bytes.
+
+    Left to itself Spark goes by the size of compressed files, which says little
+    about the memory that the driver needs for the rows.
+    """
+    size = value_bytes(df)[1] if rows is None else 32 * rows
+    return df.hint("merge") if size > limit else df
+
+
 def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Null-safe equi-join of ``big`` with ``small``, which has one row per key.
 
     ``small`` should be a scratch table: its size is measured first.  Up to
     ``limit`` bytes it is broadcast; beyond that each of its rows is repeated
     for every salt and ``big`` is dealt out by key and salt, so a key that holds
-    a third of all rows still spreads over ``salts`` tasks.
+    a third of all rows still spreads over ``salts`` tasks.  Spark would take the
+    repeated rows for as small as their file and broadcast them, hence the hint.
     """
     right = small.toDF(*[f"__k_{c}" if c in keys else c for c in small.columns])
     on = functools.reduce(operator.and_, [big[k].eqNullSafe(right[f"__k_{k}"]) for k in keys])
@@ -125,7 +136,7 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     big = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
     right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     on = functools.reduce(operator.and_, [big[k].eqNullSafe(right[f"__k_{k}"]) for k in keys]) & (big["__salt"] == right["__salt_r"])
-    return big.join(right, on, how).drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
+    return big.join(right.hint("merge"), on, how).drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
 
 
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:

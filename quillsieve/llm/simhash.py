@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup
-from .common import bound_arrow, bounded_join, discard, pick, scratch
+from .common import BROADCAST_BYTES, bound_arrow, discard, merged_if_large, pick, scratch, skew_join
 
 SEED = 42
 DISTANCE = 2
@@ -198,7 +198,7 @@ def near_links(fps: DataFrame, most: int = RUN) -> DataFrame:
     star = fine.groupBy("k1", "k2").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
     star = star.filter("a < z")
     # a signature's rows all link to its least fingerprint
-    links = fine.join(star.select("k1", "k2", "a"), ["k1", "k2"]).filter("fp > a").select("a", F.col("fp").alias("b"))
+    links = fine.join(star.select("k1", "k2", "a").hint("merge"), ["k1", "k2"]).filter("fp > a").select("a", F.col("fp").alias("b"))
     out = scratch(cool.unionByName(links).distinct(), "simhash-pairs")
     discard(found)
     return out
@@ -208,7 +208,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, label): the least node (as a signed long) of each linked node's component, that one left out.
 
     Alternates large-star and small-star steps, each a shuffle by node, until the
-    links no longer change; every round's links are a written table.
+    links no longer change; every round's links are a written table, and no side
+    of its joins is broadcast unless their number is small.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
@@ -226,10 +227,10 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: a node's greater neighbours link to the least of its neighbourhood
-        large = tidy(now.join(low, "a").select(F.col("m").alias("a"), "b"))
+        large = tidy(now.join(merged_if_large(low, seen[0], BROADCAST_BYTES), "a").select(F.col("m").alias("a"), "b"))
         # small star: a node and its lesser neighbours link to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("b", "a", "m")
+        small = large.join(merged_if_large(least, seen[0], BROADCAST_BYTES), "b").select("b", "a", "m")
         small = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         last, now = now, scratch(tidy(small), "cc")
         discard(last)
@@ -248,12 +249,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     links = near_links(nodes)
     label = components(links)
+    label = merged_if_large(label, limit=BROADCAST_BYTES)
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # a component's least id; labels are few rows each after the fingerprints were made distinct
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    answer = scratch(named.join(least, "label").select("fp", "component_id"), "simhash-answer")
+    answer = scratch(named.join(least.hint("merge"), "label").select("fp", "component_id"), "simhash-answer")
     discard(nodes, links)
-    return bounded_join(fps, answer, ["fp"])
+    # the answer grows with the documents: rows of equal fingerprints meet it by key, hot ones by salts
+    return skew_join(fps, merged_if_large(answer, limit=BROADCAST_BYTES // 8), ["fp"]).select("id", "fp", "component_id")
 
 
 def _least_by_fingerprint(rows: DataFrame, width: int) -> DataFrame:
@@ -298,7 +301,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     inner = own(docs.toDF(*[f"__d{i}" for i in range(len(names))]))
     rows = inner.select(F.col(f"__d{at}").alias("id"), F.col(f"__d{text}").alias("text"), F.col("__th").alias("th"))
     keep = (_least_by_shingles if exact else _least_by_fingerprint)(rows, width)
-    keep = scratch(keep.toDF("__id", "__kh", "n"), "simhash-keep")
+    keep = merged_if_large(scratch(keep.toDF("__id", "__kh", "n"), "simhash-keep"), limit=BROADCAST_BYTES)
     same = F.col(f"__d{at}").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kh"))
     once = inner.join(keep.filter("n = 1"), same, "left_semi").select(*inner.columns[:-1])
     # rows that repeat: one for each key, combined in each task before they meet

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillsieve.llm import simhash
+from quillsieve.llm import common, simhash
 
 
 def reference(text):
@@ -128,3 +128,29 @@ def test_keep_one(make, odd):
     assert 19 in ids and 20 not in ids and ids.count(8) <= 1
     assert len([1 for r in out.collect() if not (r.text or "").split()]) == 1
     assert simhash.keep_one(make([])).count() == 0 and simhash.near_duplicates(make([])).count() == 0
+
+
+def test_no_broadcast_beyond_the_bound(spark, make, sample, monkeypatch):
+    """Sides of joins that grow with the documents are not broadcast by the size of their compressed files."""
+    plans = []
+
+    def watched(df, name, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.scratch(df, name, *rest)
+
+    small = spark.range(5).withColumnRenamed("id", "k").withColumn("v", F.lit("v"))
+    small = common.scratch(small, "small")
+    joined = common.bounded_join(spark.range(50).withColumn("k", F.col("id") % 5), small, ["k"], limit=0)
+    assert joined.count() == 50
+    plans.append(joined._jdf.queryExecution().executedPlan().toString())
+    base = " ".join(f"w{i}" for i in range(900))
+    rows = sample[:50] + [(9000 + i, f"{base} own{i}") for i in range(8)]
+    first = simhash.near_duplicates(make(rows)).collect()
+    want = sorted((r.id, r.component_id) for r in first)
+    assert len({r.fp for r in first}) > len({r.component_id for r in first})  # links of different fingerprints
+    monkeypatch.setattr(simhash, "scratch", watched)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0, raising=False)
+    out = simhash.near_duplicates(make(rows))
+    assert sorted((r.id, r.component_id) for r in out.collect()) == want
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
