@@ -19,8 +19,13 @@ One witness is enough for a later line, so no group of near copies is expanded
 into its pairs.  A round emits for each class its ``most`` earliest candidates
 in each run of a prefix token; they are verified, and the first that holds is
 the class's earliest match.  Classes whose candidates all failed while a run had
-more take the next round, with many times as many, until none is left.  All
-pairs are compared only where a caller wants the number of all matching lines.
+more take the next round, with many times as many, until none is left.
+
+Where a caller wants the number of all matching lines, candidates only say which
+classes may belong together: each task gives a forest of its candidate pairs, whose
+components are the groups.  A group's token sets meet in one place, or in one for
+each two blocks of ``GROUP`` classes, where all pairs are compared and counted.
+Every link counts, and no list of pairs is written.
 
 A run with more than ``RUN_ROWS`` rows is dealt out in blocks of its classes,
 each pair of blocks a run of its own.  Tokens and sets are compared by 64-bit
@@ -65,6 +70,8 @@ FIRST = 2  #: candidates of a class and run in the first round
 BLOCK = 256  #: earliest rows of a long run that meet the others at once
 LINES_AT_ONCE = 1 << 20
 MEET = 1024  #: pairs with one y that are compared in one place
+GROUP = 2048  #: classes of a group that are compared in one place
+SHARED = 2048  #: shared tokens of a group that are multiplied at once
 
 #: A row of the index: run, class number, parities, tokens (top bits: all links are asked for; none are), place in the prefix.
 ROW = np.dtype([("run", "<u4"), ("rank", "<i8"), ("parity", "<u8"), ("parity2", "<u8"), ("n", "<u4"), ("k", "<u4")])
@@ -381,9 +388,30 @@ class _Earliest:
         self.x, self.y, self.n = x[keep], y[keep], n[keep]
 
 
-def _candidates(most: int, labelled: bool, at_once: int, long_run: int, block: int):
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, y), one for each node but the least of its component, that connect what the links (a, b) do."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        m = np.minimum(label[i], label[j])
+        low = label.copy()
+        np.minimum.at(low, label[i], m)
+        np.minimum.at(low, label[j], m)
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == label).all():
+            break
+        label = low[label]
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
+def _candidates(most: int, labelled: bool, at_once: int, long_run: int, block: int, forest: bool = False):
     """(x, y, cut) for classes and their candidates, from index rows by bucket.
 
+    With ``forest``: a forest of all candidate pairs of the bucket.
+
     Not asked: the ``most`` earliest candidates before x in a run; cut is the last of them if there were more.
     Asked: every candidate.  With labels: those of other labels, after the floor.
     ``at_once`` pairs are compared at once; runs of ``long_run`` rows are searched in blocks.
@@ -426,7 +454,7 @@ def _candidates(most: int, labelled: bool, at_once: int, long_run: int, block: i
             if not len(r):
                 return
         r = r[np.argsort(r["run"].astype(np.int64) << 31 | (r["n"] & _SIZE), kind="stable")]
-        asked, quiet = r["n"] & _ASKED > 0, r["n"] & _QUIET > 0
+        asked, quiet = (r["n"] & _ASKED > 0) | forest, r["n"] & _QUIET > 0
         edge = np.flatnonzero(np.r_[True, r["run"][1:] != r["run"][:-1]])
         size = np.diff(np.r_[edge, len(r)])
         got, whole = _Earliest(most, at_once), []
@@ -434,6 +462,11 @@ def _candidates(most: int, labelled: bool, at_once: int, long_run: int, block: i
 
         def take(left: np.ndarray, right: np.ndarray) -> None:
             """Candidate pairs, in any order of both."""
+            if forest:
+                whole.append((r["rank"][left], r["rank"][right]))
+                if sum(len(x) for x, _ in whole) > at_once:
+                    whole[:] = [_forest(*(np.concatenate(c) for c in zip(*whole, strict=True)))]
+                return
             swap = r["rank"][left] > r["rank"][right]
             early, late = np.where(swap, right, left), np.where(swap, left, right)
             if labelled:
@@ -484,6 +517,8 @@ def _candidates(most: int, labelled: bool, at_once: int, long_run: int, block: i
             more = np.add.reduceat(n, edge) > size
             last = np.where(more, y[edge + size - 1], -1)
             yield pa.RecordBatch.from_arrays([pa.array(r["rank"][x]), pa.array(y), pa.array(np.repeat(last, size))], ["x", "y", "cut"])
+        if forest and whole:
+            whole = [_forest(*(np.concatenate(c) for c in zip(*whole, strict=True)))]
         for x, y in whole:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), -1))], ["x", "y", "cut"])
 
@@ -608,6 +643,84 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, last_key = sets[at[-1]].copy(), (y[at[-1]], salt[at[-1]])
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], shared: int) -> np.ndarray:
+    """Tokens that each two different sets have in common, ``shared`` different tokens at once."""
+    one, two = np.concatenate(left), np.concatenate(right)
+    if left is right:
+        names, n = np.unique(one, return_counts=True)
+        names = names[n > 1]
+    else:
+        names = np.intersect1d(one, two)
+    both = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for flat, sets in ((one, left), (two, right)):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+        hit = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+        sides.append((row[hit], at[hit]))
+    for a in range(0, len(names), shared):
+        z = min(len(names), a + shared)
+        m = []
+        for (row, at), n in zip(sides, (len(left), len(right)), strict=True):
+            own = (at >= a) & (at < z)
+            x = np.zeros((n, z - a), np.float32)
+            x[row[own], at[own] - a] = 1
+            m.append(x)
+        both += m[0] @ m[1].T
+    return both.astype(np.int64)
+
+
+def _counted(shared: int):
+    """(x, y, others) of (label, place, one, rank, block, copies, tokens) rows: of each class its earliest match there before it, and copies of all its matches there.
+
+    ``one``: the place compares a block with itself, else two blocks with each other.
+    """
+
+    def place(one: bool, rank: np.ndarray, block: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # several texts may hold the set of a class
+        order = np.unique(rank, return_index=True)[1]
+        rank, block, copies, sets = rank[order], block[order], copies[order], [sets[i] for i in order]
+        low = np.flatnonzero(block == block.min())
+        high = low if one else np.flatnonzero(block != block.min())
+        if not len(high):
+            return
+        n = np.array([len(x) for x in sets])
+        left = [sets[i] for i in low]
+        both = _overlaps(left, left if one else [sets[i] for i in high], shared)
+        good = DEN * both >= NUM * (n[low][:, None] + n[high][None, :] - both)
+        if one:
+            np.fill_diagonal(good, False)
+        for x, y, match in ((low, high, good),) if one else ((low, high, good), (high, low, good.T)):
+            found = match.any(axis=1)
+            first = rank[y][match.argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(rank[x][found]), pa.array(np.where(first < rank[x], first, -1)[found]), pa.array((match[found] @ copies[y]).astype(np.int64))], ["x", "y", "others"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            cols = [np.concatenate([h[i] for h in held]) for i in range(3)]
+            return place(key[2], *cols, [x for h in held for x in h[3]])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            label, at, one, rank, block, copies = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "place", "one", "rank", "block", "copies"))
+            # copies, as the batch's memory is given back
+            sets = [np.frombuffer(x.as_buffer().to_pybytes(), "<u8") for x in b.column("tokens")]
+            edge = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (at[1:] != at[:-1])])
+            for a, z in zip(edge, [*edge[1:], len(label)], strict=True):
+                if held and key != (label[a], at[a], one[a]):
+                    yield from out()
+                    held = []
+                key = (label[a], at[a], one[a])
+                held.append((rank[a:z].copy(), block[a:z].copy(), copies[a:z].copy(), sets[a:z]))
+        if held:
+            yield from out()
+
+    return run
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pick(docs, id=id_col, text=text_col).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
 
@@ -638,14 +751,14 @@ class Join:
         self.index_rows = got.pop(-1, 0)
         self.hot = {slot: -(-n // RUN_ROWS) for slot, n in got.items()}
 
-    def candidates(self, most: int, part: DataFrame | None = None, wanted: np.ndarray | None = None, labelled: bool = False) -> DataFrame:
+    def candidates(self, most: int, part: DataFrame | None = None, wanted: np.ndarray | None = None, labelled: bool = False, forest: bool = False) -> DataFrame:
         """(x, y, cut) as a scratch table: of each x that asks its earliest candidates; those up to the least cut of x are complete."""
         spark = self.rows.sparkSession
         source = (self.classes.withColumn("quiet", F.lit(False)) if part is None else part).filter(F.length("prefix") > 0)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.index_rows // BUCKET_ROWS))
         index = source.select("rank", "parity", "parity2", "n", "ask", "quiet", "prefix", *("label", "floor") * labelled).mapInArrow(_index_rows(4 * parts, self.hot, wanted, labelled), "bucket long, rows binary")
         index = index.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        found = index.mapInArrow(_candidates(most, labelled, PAIRS, LONG_RUN, BLOCK), "x long, y long, cut long")
+        found = index.mapInArrow(_candidates(most, labelled, PAIRS, LONG_RUN, BLOCK, forest), "x long, y long, cut long")
         return scratch(found.groupBy("x", "y").agg(F.min(F.when(F.col("cut") >= 0, F.col("cut"))).alias("cut")), "line-candidates")
 
     def complete(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -664,17 +777,41 @@ class Join:
         there = there.unionByName(salts.select(F.col("y").alias("rank"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
         key = F.xxhash64("first.id", "first.th")
         named = scratch(skew_join(there, self.classes.select("rank", "s1", "s2", key.alias("doc")), ["rank"]), "line-named")
-        # whole token sets, gathered again from the first lines of the classes in question only
+        met = self.sets_of(named).select("y", "salt", "rank", "tokens")
+        met = met.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("rank") != F.col("y"))
+        out = scratch(met.mapInArrow(_matching, "x long, y long").distinct(), "line-verified")
+        discard(salts, named)
+        return out
+
+    def sets_of(self, named: DataFrame) -> DataFrame:
+        """Rows of a scratch table with (s1, s2, doc) and ``tokens``, some more than once; gathered again from the first lines of the classes in question only."""
         named_docs = scratch(named.select("doc").distinct(), "line-texts")
         texts = self.rows.select("text", F.xxhash64("id", "th").alias("doc"))
         if value_bytes(named_docs)[1] <= BROADCAST_BYTES:
             texts = texts.join(F.broadcast(named_docs), "doc", "left_semi")
         sets = texts.mapInArrow(_token_sets(_bitmap(named, "doc"), _bitmap(named, "s1"), self.split), "s1 long, s2 long, tokens binary")
         few = value_bytes(named)[1] <= BROADCAST_BYTES
-        met = sets.join(F.broadcast(named) if few else named, ["s1", "s2"]).select("y", "salt", "rank", "tokens")
-        met = met.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("rank") != F.col("y"))
-        out = scratch(met.mapInArrow(_matching, "x long, y long").distinct(), "line-verified")
-        discard(salts, named, named_docs)
+        return sets.join(F.broadcast(named) if few else named, ["s1", "s2"])
+
+    def counted(self, connect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(x, y, others) of each class with a match, a scratch table: the earliest match before it, else null, and the lines of all its matches.
+
+        ``connect`` gives (node, label) of the components of links (a, b).
+        """
+        found = self.candidates(0, forest=True)
+        label = scratch(connect(found.select(F.col("x").alias("a"), F.col("y").alias("b"))), "line-labels")
+        group = label.select(F.col("node").alias("rank"), "label").unionByName(label.select(F.col("label").alias("rank"), "label").distinct())
+        size = group.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("blocks"))
+        group = skew_join(scratch(group, "line-groups"), scratch(size, "line-sizes"), ["label"])
+        mine = self.classes.select("rank", "s1", "s2", "copies", F.xxhash64("first.id", "first.th").alias("doc"))
+        named = scratch(mine.join(group, "rank").withColumn("block", F.pmod(F.xxhash64("rank"), "blocks")), "line-named")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        at = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+        met = self.sets_of(named).select("label", "rank", "block", "blocks", "copies", "tokens", other.alias("other")).select("label", at.alias("place"), (F.col("block") == F.col("other")).alias("one"), "rank", "block", "copies", "tokens")
+        met = met.repartition("label", "place").sortWithinPartitions("label", "place")
+        out = met.mapInArrow(_counted(SHARED), "x long, y long, others long").groupBy("x").agg(F.min(F.when(F.col("y") >= 0, F.col("y"))).alias("y"), F.sum("others").alias("others"))
+        out = scratch(out, "line-counted")
+        discard(found, label, named)
         return out
 
     def matches(self) -> DataFrame:
@@ -761,18 +898,20 @@ def verdicts(rows: DataFrame, least: int = MIN_TOKENS, whole: bool = False) -> D
 
     Each later line has a link to the earliest line that it matches; ``n_links``
     counts the document's ends of those links, or with ``whole`` all lines
-    elsewhere that match one of the document's, which takes all pairs.
+    elsewhere that match one of the document's.
     """
-    join = Join(rows, partial(tokenize, least=least), F.lit(True) if whole else None)
-    pairs = join.matches()
+    from .simhash import components  # which imports this module
+
+    join = Join(rows, partial(tokenize, least=least))
+    pairs = join.counted(components) if whole else join.matches()
     earliest = pairs.filter("y < x").groupBy("x").agg(F.min("y").alias("y"))
     far = skew_join(earliest, join.classes.select(F.col("rank").alias("y"), F.col("first").alias("far")), ["y"]).select(F.col("x").alias("rank"), "far")
     copies = join.classes.select(F.col("rank").alias("y"), "copies")
     if whole:
-        links = skew_join(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), copies, ["y"])
+        links = pairs.select(F.col("x").alias("rank"), "others")
     else:
-        links = copies.withColumnRenamed("y", "x").join(earliest, "x").select(F.col("y").alias("x"), "copies")
-    links = links.groupBy("x").agg(F.sum("copies").alias("others")).withColumnRenamed("x", "rank")
+        links = copies.withColumnRenamed("y", "x").join(earliest, "x").select(F.col("y").alias("rank"), "copies")
+        links = links.groupBy("rank").agg(F.sum("copies").alias("others"))
     found = join.classes.select("rank", "s1", "s2", "first", "copies").join(far, "rank", "left").join(links, "rank", "left")
     found = found.filter((F.col("copies") > 1) | F.col("far").isNotNull() | F.col("others").isNotNull())
     found = scratch(found.select("s1", "s2", "first", "far", F.when(F.lit(whole) | F.col("far").isNull(), F.col("copies") - 1).otherwise(0).alias("own"), F.coalesce("others", F.lit(0)).alias("others")), "line-verdicts")
@@ -797,7 +936,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For every document: lines, removed lines, links and class.
 
     ``n_links`` counts the lines elsewhere that match one of the document's
-    lines; without ``whole``, which takes all pairs, the ends of the links from each later line to
+    lines; without ``whole`` the ends of the links from each later line to
     its class's representative, the earliest line that it matches.  ``class_id`` is
     the least id that holds the earliest match of a line,
     the document's own if no other does; ``removed_lines`` are numbers from 0.

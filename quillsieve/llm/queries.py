@@ -46,8 +46,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links are those of later lines to their representatives, so no group of near copies is expanded into pairs."""
-    return linededup.dedup_report(_table(spark, sf_dir, "documents"), least=1, whole=False)
+    """``n_links`` counts all lines elsewhere that match one of the document's; they are counted where they meet, so no pairs are written."""
+    return linededup.dedup_report(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

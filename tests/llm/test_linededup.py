@@ -173,3 +173,23 @@ def test_candidates_grow_with_the_lines(spark, make):
         counts.append((join.candidates(linededup.FIRST).count(), join.matches().count()))
     assert counts[0][1] == 199 and counts[1][1] == 399
     assert counts[1][0] < 2.5 * counts[0][0] < 2.5 * 200 * 10
+
+
+def test_query_counts_every_link(spark, tmp_path, make, monkeypatch):
+    """The query's links are those of a brute force over all lines; a group dealt out in blocks, long and hot runs give the same."""
+    from quillsieve.llm import queries
+
+    rows = fixture(6) + [(1000 + i, t) for i, t in near_copies(40)] + [(2000, None), (2001, near_copies(3)[2][1])]
+    lines = [(i, s) for i, t in rows for x in (t or "").split("\n") if (s := tokens(x))]
+    want = {i: 0 for i, _ in rows}
+    for p, (i, s) in enumerate(lines):
+        want[i] += sum(p != q and 5 * len(s & r) >= 4 * len(s | r) for q, (_, r) in enumerate(lines))
+    gone = {i: ",".join(map(str, sorted(x))) for i, x in brute_all(rows).items()}
+    assert max(want.values()) >= 40
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for sizes in ({}, SMALL | {"GROUP": 7, "SHARED": 16}):
+        for k, v in sizes.items():
+            monkeypatch.setattr(linededup, k, v)
+        got = queries.op8_lines(spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.removed_lines for r in got} == gone
+        assert {r.doc_id: r.n_links for r in got} == want
