@@ -19,7 +19,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by 5-word shingles with a Jaccard similarity of 0.8: the one with the least id."""
+    """One document of each group of near copies, the one with the least id: SimHash of 5-word shingles, its links verified by a Jaccard similarity of 0.8, then an exact join for copies whose fingerprints lie too far apart."""
     return simhash.keep_one(docs, width=5, exact=True)
 
 

@@ -863,15 +863,18 @@ class Join:
         fits = functools.reduce(operator.add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH]) <= both - 2 * need
         return scratch(skew_join(pairs, mine("y"), ["y"]).join(mine("x"), "x").filter(fits).select("x", "y"), "line-likely")
 
-    def components(self, connect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def components(self, connect: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
         """(node, label) of linked classes; ``connect`` gives them for links (a, b).
 
-        Earliest matches are links already.  Of the other candidates only those
+        Earliest matches are links already, and so are ``known`` ones (x, y).  Of the other candidates only those
         between classes with different labels are verified, in rounds that go on from where a
         class's last one ended.
         """
         links = self.matches()
         floors = scratch(links.filter("y < x").groupBy("x").agg(F.min("y").alias("floor")).withColumnRenamed("x", "rank"), "line-floors")
+        if known is not None:
+            matched, links = links, scratch(links.unionByName(known), "line-matches")
+            discard(matched)
         most = 8
         while True:
             label = scratch(connect(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "line-labels")

@@ -267,14 +267,36 @@ def _least_by_fingerprint(rows: DataFrame, width: int) -> DataFrame:
     return keep.select("id.id", "id.th", "n")
 
 
+def verified_links(join: linededup.Join, width: int) -> DataFrame:
+    """(x, y) classes of shingle sets whose fingerprints link and whose sets have a Jaccard similarity of 0.8, a scratch table."""
+    doc = F.xxhash64("id", "th").alias("doc")
+    fps = scratch(fingerprints(join.rows.select(doc, "text"), "doc", "text", width), "simhash")
+    first = fps.groupBy("id").agg(F.min("fp").alias("fp")).withColumnRenamed("id", "doc")
+    mine = join.classes.select("rank", F.xxhash64("first.id", "first.th").alias("doc"))
+    named = scratch(mine.join(first, "doc").select("rank", "fp"), "simhash-classes")
+    nodes = scratch(named.groupBy("fp").agg(F.min("rank").alias("least")), "simhash-nodes")
+    links = near_links(nodes)
+    side = lambda c: merged_if_large(nodes, limit=BROADCAST_BYTES).select(F.col("fp").alias(c), F.col("least").alias(f"{c}_rank"))
+    far = links.join(side("a"), "a").join(side("b"), "b").select(F.greatest("a_rank", "b_rank").alias("x"), F.least("a_rank", "b_rank").alias("y"))
+    same = skew_join(named, merged_if_large(nodes, limit=BROADCAST_BYTES), ["fp"]).filter("rank > least").select(F.col("rank").alias("x"), F.col("least").alias("y"))
+    pairs = scratch(far.unionByName(same).distinct(), "simhash-candidates")
+    likely = join.likely(pairs)
+    out = join.verified(likely)
+    discard(fps, named, nodes, links, pairs, likely)
+    return out
+
+
 def _least_by_shingles(rows: DataFrame, width: int) -> DataFrame:
     """As ``_least_by_fingerprint``, for groups linked by a Jaccard similarity of 0.8 of shingle sets.
 
-    Fingerprints of 64 bits differ in about ten places at that similarity, where
-    no segment of them tells pairs apart; the exact join of sets finds all pairs.
+    Fingerprints link first, and their links are verified on the sets.  At that
+    similarity they differ in about ten places of 64, where no segment of them tells
+    pairs apart, so an exact join of sets follows for what they leave apart.
     """
     join = linededup.Join(rows, partial(linededup.shingles, width=width))
-    label = join.components(components)
+    known = verified_links(join, width)
+    label = join.components(components, known)
+    discard(known)
     named = join.classes.select("rank", "first").join(label, F.col("rank") == F.col("node"), "left").select("first", F.coalesce("label", "rank").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("k_id"), F.col("first.th").alias("k_th"))
     # rows of one key, combined in each task

@@ -154,3 +154,29 @@ def test_no_broadcast_beyond_the_bound(spark, make, sample, monkeypatch):
     assert sorted((r.id, r.component_id) for r in out.collect()) == want
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_stage_links_by_fingerprints_first(spark, make, monkeypatch):
+    """The pipeline's stage makes fingerprints of 5-word shingles; links that hold on the sets go to the exact join."""
+    import corpus_pipeline
+
+    widths, found = [], []
+    plain, links = simhash.fingerprints, simhash.near_links
+
+    def fingerprints(docs, id_col="doc_id", text_col="text", width=3):
+        widths.append(width)
+        return plain(docs, id_col, text_col, width)
+
+    def near_links(*args):
+        found.append(links(*args))
+        # read now: the table goes once its readers have run
+        found[-1].rows = found[-1].count()
+        return found[-1]
+
+    monkeypatch.setattr(simhash, "fingerprints", fingerprints)
+    monkeypatch.setattr(simhash, "near_links", near_links)
+    base = " ".join(f"w{i}" for i in range(900))
+    rows = [(i, f"{base} own{i}") for i in range(8)] + [(20, "something else"), (21, "Something else"), (22, None)]
+    got = corpus_pipeline.near_dedup(spark, make(rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [0, 20, 22]
+    assert widths == [5] and found[0].rows > 0
