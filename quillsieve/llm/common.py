@@ -5,6 +5,8 @@
 * ``scratch`` cuts lineage with a table written under the folder that the
   session names in ``spark.checkpoint.dir``; every executor sees it, so a lost
   executor costs a re-read, never a recomputation from nothing.
+* ``sieved`` parts the rows that a join may change from the others, which then
+  need no shuffle.
 * ``bounded_join`` broadcasts a side only after its size was measured and falls
   back to a salted shuffle join beyond the bound.
 """
@@ -28,6 +30,8 @@ DEFAULT_WORK_DIR = "/tmp/checkpoints/quillsieve"
 ARROW_BATCH_BYTES = 32 << 20
 #: Largest table, measured in bytes of its values, that is broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Bits of the bitmap by which ``sieved`` tells keys apart; its words are 2 MB at most.
+SIEVE_BITS = 23
 #: A key with over one in so many of all rows, and over ``HOT_ROWS`` rows, is hot.
 HOT_KEYS = 1024
 HOT_ROWS = 4096
@@ -120,6 +124,23 @@ def merged_if_large(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return df.hint("merge") if size > limit else df
 
 
+def sieved(df: DataFrame, key: Column, ids: DataFrame, name: str = "sieve") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose hash ``key`` may be among those of ``ids`` (one column of longs), and all others.
+
+    Every row whose key is there is in the first table, with a few whose key is
+    not, so a join of the first alone loses nothing.  What is broadcast is a
+    bitmap of fixed size, as rows of its words.
+    """
+    word = F.shiftright(F.col("__h").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1)), 6)
+    bit = F.expr("shiftleft(1L, cast(__h & 63 as int))")
+    words = ids.toDF("__h").select(word.alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__b"))
+    words = F.broadcast(scratch(words, name).toDF("__kw", "__kb"))
+    mine = df.withColumn("__h", key)
+    mine = mine.withColumn("__w", word).join(words, F.col("__w") == F.col("__kw"), "left")
+    hit = F.coalesce(F.col("__kb").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(mine.filter(x).select(*[F.col(f"`{c}`") for c in df.columns]) for x in (hit, ~hit))
+
+
 def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 32, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Null-safe equi-join of ``big`` with ``small``, which has one row per key.
 

@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bound_arrow, discard, pick, scratch, skew_join, value_bytes
+from .common import BROADCAST_BYTES, bound_arrow, discard, pick, scratch, sieved, skew_join, value_bytes
 
 MIN_TOKENS = 5  #: words of a line, where the caller gives no other number
 #: Similarity as a fraction, so that bounds are exact.
@@ -761,6 +761,10 @@ class Join:
         found = index.mapInArrow(_candidates(most, labelled, PAIRS, LONG_RUN, BLOCK, forest), "x long, y long, cut long")
         return scratch(found.groupBy("x", "y").agg(F.min(F.when(F.col("cut") >= 0, F.col("cut"))).alias("cut")), "line-candidates")
 
+    def among(self, ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Classes whose rank may be among the given (one column), and the others."""
+        return sieved(self.classes, F.xxhash64("rank"), ranks.toDF("rank").select(F.xxhash64("rank")), "line-sieve")
+
     def complete(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs that stand before each x's least cut, and (x, upto) with that cut, null where nothing was left out."""
         upto = found.groupBy("x").agg(F.min("cut").alias("upto"))
@@ -776,7 +780,8 @@ class Join:
         there = skew_join(pairs.select("x", "y"), salts, ["y"]).select(F.col("x").alias("rank"), "y", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"))
         there = there.unionByName(salts.select(F.col("y").alias("rank"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
         key = F.xxhash64("first.id", "first.th")
-        named = scratch(skew_join(there, self.classes.select("rank", "s1", "s2", key.alias("doc")), ["rank"]), "line-named")
+        mine, _ = self.among(there.select("rank"))
+        named = scratch(skew_join(there, mine.select("rank", "s1", "s2", key.alias("doc")), ["rank"]), "line-named")
         met = self.sets_of(named).select("y", "salt", "rank", "tokens")
         met = met.repartition("y", "salt").sortWithinPartitions("y", "salt", F.col("rank") != F.col("y"))
         out = scratch(met.mapInArrow(_matching, "x long, y long").distinct(), "line-verified")
@@ -803,7 +808,7 @@ class Join:
         group = label.select(F.col("node").alias("rank"), "label").unionByName(label.select(F.col("label").alias("rank"), "label").distinct())
         size = group.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("blocks"))
         group = skew_join(scratch(group, "line-groups"), scratch(size, "line-sizes"), ["label"])
-        mine = self.classes.select("rank", "s1", "s2", "copies", F.xxhash64("first.id", "first.th").alias("doc"))
+        mine = self.among(group.select("rank"))[0].select("rank", "s1", "s2", "copies", F.xxhash64("first.id", "first.th").alias("doc"))
         named = scratch(mine.join(group, "rank").withColumn("block", F.pmod(F.xxhash64("rank"), "blocks")), "line-named")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         at = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
@@ -853,15 +858,19 @@ class Join:
 
     def runs_of(self, ranks: DataFrame) -> np.ndarray:
         """Bitmap of the runs that the prefixes of the given classes name."""
-        return _merged(self.classes.join(ranks, "rank", "left_semi").select("prefix").mapInArrow(_named_runs, "w long, b long"), RUN_BITS)
+        return _merged(self.among(ranks.select("rank"))[0].join(ranks, "rank", "left_semi").select("prefix").mapInArrow(_named_runs, "w long, b long"), RUN_BITS)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches leave a match possible, as a scratch table: fewer to verify."""
-        mine = lambda to: self.classes.select(F.col("rank").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in ("n", *_SKETCH)])
+        pairs = scratch(pairs.select("x", "y"), "line-pairs")
+        classes, _ = self.among(pairs.select("x").union(pairs.select("y")))
+        mine = lambda to: classes.select(F.col("rank").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in ("n", *_SKETCH)])
         both = F.col("x_n") + F.col("y_n")
         need = F.ceil(F.lit(NUM) * both / (NUM + DEN))
         fits = functools.reduce(operator.add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH]) <= both - 2 * need
-        return scratch(skew_join(pairs, mine("y"), ["y"]).join(mine("x"), "x").filter(fits).select("x", "y"), "line-likely")
+        out = scratch(skew_join(pairs, mine("y"), ["y"]).join(mine("x"), "x").filter(fits).select("x", "y"), "line-likely")
+        discard(pairs)
+        return out
 
     def components(self, connect: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
         """(node, label) of linked classes; ``connect`` gives them for links (a, b).
@@ -881,7 +890,10 @@ class Join:
             if floors.isEmpty():
                 discard(floors, links)
                 return label
-            part = self.classes.drop("first", "ask").join(label.withColumnRenamed("node", "rank"), "rank", "left").join(floors, "rank", "left")
+            # a class without a link keeps its own number and asks for nothing
+            linked, alone = (c.select("rank", "parity", "parity2", "n", "prefix") for c in self.among(label.select("node").union(floors.select("rank"))))
+            part = linked.join(label.withColumnRenamed("node", "rank"), "rank", "left").join(floors, "rank", "left")
+            part = part.unionByName(alone, allowMissingColumns=True)
             part = scratch(part.select("rank", "parity", "parity2", "n", "prefix", F.coalesce("label", "rank").alias("label"), F.coalesce("floor", "rank").alias("floor"), F.lit(False).alias("ask"), F.col("floor").isNull().alias("quiet")), "line-part")
             found = self.candidates(most, part, self.runs_of(floors), labelled=True)
             pairs, upto = self.complete(found)
@@ -908,14 +920,16 @@ def verdicts(rows: DataFrame, least: int = MIN_TOKENS, whole: bool = False) -> D
     join = Join(rows, partial(tokenize, least=least))
     pairs = join.counted(components) if whole else join.matches()
     earliest = pairs.filter("y < x").groupBy("x").agg(F.min("y").alias("y"))
-    far = skew_join(earliest, join.classes.select(F.col("rank").alias("y"), F.col("first").alias("far")), ["y"]).select(F.col("x").alias("rank"), "far")
-    copies = join.classes.select(F.col("rank").alias("y"), "copies")
+    some, others = join.among(pairs.select("x").union(pairs.filter("y is not null").select("y")))
+    far = skew_join(earliest, some.select(F.col("rank").alias("y"), F.col("first").alias("far")), ["y"]).select(F.col("x").alias("rank"), "far")
+    copies = some.select(F.col("rank").alias("y"), "copies")
     if whole:
         links = pairs.select(F.col("x").alias("rank"), "others")
     else:
         links = copies.withColumnRenamed("y", "x").join(earliest, "x").select(F.col("y").alias("rank"), "copies")
         links = links.groupBy("rank").agg(F.sum("copies").alias("others"))
-    found = join.classes.select("rank", "s1", "s2", "first", "copies").join(far, "rank", "left").join(links, "rank", "left")
+    found, alone = (c.select("rank", "s1", "s2", "first", "copies") for c in (some, others))
+    found = found.join(far, "rank", "left").join(links, "rank", "left").unionByName(alone.filter("copies > 1"), allowMissingColumns=True)
     found = found.filter((F.col("copies") > 1) | F.col("far").isNotNull() | F.col("others").isNotNull())
     found = scratch(found.select("s1", "s2", "first", "far", F.when(F.lit(whole) | F.col("far").isNull(), F.col("copies") - 1).otherwise(0).alias("own"), F.coalesce("others", F.lit(0)).alias("others")), "line-verdicts")
     lines = join.lines.select("id", "th", "line", "s1", "s2")
@@ -960,7 +974,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = lambda c: f"__d{names.index(c)}"
     inner = docs.toDF(*[f"__d{i}" for i in range(len(names))]).withColumn("__th", F.xxhash64(F.coalesce(at(text_col), F.lit(""))))
     found = verdicts(_rows(docs, id_col, text_col), least).filter(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("th").alias("__fh"), "removed")
-    out = inner.join(found, F.col(at(id_col)).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__fh")), "left")
+    # whole texts are shuffled only where lines may go
+    some, others = sieved(inner, F.xxhash64(at(id_col), "__th"), found.select(F.xxhash64("__id", "__fh")))
+    out = some.join(found.hint("merge"), F.col(at(id_col)).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__fh")), "left").unionByName(others, allowMissingColumns=True)
     hit = F.col("removed").isNotNull()
     lines = F.split(F.col(at(text_col)), "\n", -1)
     kept = F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed", i), x))), "\n")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup
-from .common import BROADCAST_BYTES, bound_arrow, discard, merged_if_large, pick, scratch, skew_join
+from .common import BROADCAST_BYTES, bound_arrow, discard, merged_if_large, pick, scratch, sieved, skew_join
 
 SEED = 42
 DISTANCE = 2
@@ -325,8 +325,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     keep = (_least_by_shingles if exact else _least_by_fingerprint)(rows, width)
     keep = merged_if_large(scratch(keep.toDF("__id", "__kh", "n"), "simhash-keep"), limit=BROADCAST_BYTES)
     same = F.col(f"__d{at}").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kh"))
-    once = inner.join(keep.filter("n = 1"), same, "left_semi").select(*inner.columns[:-1])
+    # keys of rows that go or repeat; all others stay, and their texts need no shuffle
+    open_ = scratch(inner.select(f"__d{at}", "__th").join(keep.filter("n = 1"), same, "left_anti").distinct(), "simhash-open")
+    some, others = sieved(inner, F.xxhash64(f"__d{at}", "__th"), open_.select(F.xxhash64(f"__d{at}", "__th")))
+    once = some.join(keep.filter("n = 1"), same, "left_semi").unionByName(others).select(*inner.columns[:-1])
     # rows that repeat: one for each key, combined in each task before they meet
-    again = inner.join(keep.filter("n > 1"), same, "left_semi")
+    again = some.join(keep.filter("n > 1"), same, "left_semi")
     again = again.groupBy(f"__d{at}", "__th").agg(F.first(F.struct(*[f"__d{i}" for i in range(len(names))])).alias("r")).select("r.*")
     return once.unionByName(again).toDF(*names)

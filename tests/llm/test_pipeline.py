@@ -52,3 +52,42 @@ def test_odd_rows(spark, make, odd):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     now.count()
+
+
+def shuffled_bytes(df):
+    """Bytes that the shuffles of a table's own plan wrote, once it has been collected."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("dataSize").value() if name == "ShuffleExchangeExec" else 0
+        kids = node.children()
+        return own + sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_copies_are_not_shuffled(spark, tmp_path, make):
+    """Where a table is too large to broadcast, only texts that may change or go meet it."""
+    own = lambda i: "\n".join(" ".join(f"w{i}x{k}x{j}" for j in range(12)) for k in range(20))
+    rows = [(i, own(i)) for i in range(200)]
+    shared, copy = "a line that two of the documents have", " ".join(f"copied{k}" for k in range(90))
+    rows[7], rows[9] = (7, f"{own(7)}\n{shared}"), (9, f"{shared}\n{own(9)}")
+    rows += [(300, copy), (301, copy), (302, copy), (302, copy)]
+    make(rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    size = sum(len(t) for _, t in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = linededup.remove_lines(docs, count_col="n_chars", least=1)
+        left = {r.doc_id: r.text for r in lines.collect()}
+        kept = simhash.keep_one(docs, width=5, exact=True)
+        ids = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left == dict(rows[:200]) | {9: own(9), 300: copy}
+    assert ids == [*range(200), 300]
+    assert 0 < shuffled_bytes(lines) < size // 4 and 0 < shuffled_bytes(kept) < size // 4
