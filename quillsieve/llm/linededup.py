@@ -13,7 +13,8 @@ hashed tokens over all documents (any common order gives exact results; rarity
 only makes prefixes selective).  Each class is indexed under the tokens of its
 prefix; pairs that share one pass the length and positional filters and a
 comparison of 128 parities of hashed tokens, then one of 256, which differ in no more places than
-the sets have tokens apart.  What is left is verified on whole token sets.
+the sets have tokens apart; sets of more than ``WIDE`` tokens then by as many parities as they have
+tokens, where 256 would let any two pass.  What is left is verified on whole token sets.
 
 One witness is enough for a later line, so no group of near copies is expanded
 into its pairs.  A round emits for each class its ``most`` earliest candidates
@@ -60,8 +61,9 @@ MIN_TOKENS = 5  #: words of a line, where the caller gives no other number
 NUM, DEN = 4, 5
 COUNT_BITS = 16  #: of the rarity table
 SIEVE_BITS = 23  #: of the bitmaps that tell which lines are needed again
-RUN_BITS = 20  #: of the bitmap that tells which runs are
+RUN_BITS = 23  #: of the bitmap that tells which runs are
 SKETCHES = 4  #: words of 64 parities, compared before whole token sets; a power of two
+WIDE = 64 * SKETCHES  #: tokens from which a set has as many parities as tokens, or more
 PAIRS = 1 << 20  #: pairs compared at once
 BUCKET_ROWS = 1 << 20  #: index rows that a bucket of runs holds, about
 RUN_ROWS = 1 << 20  #: index rows of one run from which it is dealt out in blocks
@@ -269,6 +271,32 @@ def _parities(h: np.ndarray, words: int, edge: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), edge) for i in range(words)]
 
 
+def _wide(h: np.ndarray, edge: np.ndarray, n: np.ndarray, least: int) -> pa.Array:
+    """For each set of over ``least`` tokens its parities in the next power of two of slots, as bytes; else none."""
+    bits = np.where(n > least, 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64), 0)
+    at = np.cumsum(bits) - bits
+    own = np.repeat(bits > 0, n)
+    slot = _mix(h[own] + np.uint64(_BASE)) & np.repeat(bits, n)[own].astype(np.uint64) - np.uint64(1)
+    odd = np.bincount(np.repeat(at, n)[own] + slot.astype(np.int64), minlength=int(bits.sum())) & 1
+    return _lists(np.packbits(odd.astype(np.uint8), bitorder="little"), bits // 8, pa.binary())
+
+
+def _wide_fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y) whose wide parities, if both have them, leave a match possible."""
+    for b in batches:
+        left, right = ([np.frombuffer(v.as_buffer() or b"", "<u8") for v in b.column(c)] for c in ("x_wide", "y_wide"))
+        both = sum(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x_n", "y_n"))
+        allowed = both - 2 * _need(both)
+        keep = np.ones(b.num_rows, bool)
+        for i, (p, q) in enumerate(zip(left, right, strict=True)):
+            if len(p) and len(q):
+                # slots are low bits, so parities of fewer slots are those of more, folded
+                k = min(len(p), len(q))
+                odd = np.bitwise_xor.reduce(p.reshape(-1, k)) ^ np.bitwise_xor.reduce(q.reshape(-1, k))
+                keep[i] = np.bitwise_count(odd).sum() <= allowed[i]
+        yield b.select(["x", "y"]).filter(pa.array(keep))
+
+
 def _line_rows(rarity: np.ndarray, split: Callable):
     """For each line: document, number, set hashes, size, and the prefix's runs in order of rarity."""
 
@@ -288,8 +316,8 @@ def _line_rows(rarity: np.ndarray, split: Callable):
                 length = np.where(n > 3, n - _ceil_share(n) + 1, 0)
                 prefix = h[place < np.repeat(length, n)].astype(np.uint32)
                 rows = pa.array(owner)
-                made = [pa.array(number.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (s1, s2)], pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in odd], _lists(prefix, length, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in ("id", "th", "ask")], *made], ["id", "th", "ask", "line", "s1", "s2", "n", "parity", "parity2", *_SKETCH, "prefix"])
+                made = [pa.array(number.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (s1, s2)], pa.array(n.astype(np.int32)), *[pa.array(x.view(np.int64)) for x in odd], _lists(prefix, length, pa.binary()), _wide(h, edge, n, WIDE)]
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in ("id", "th", "ask")], *made], ["id", "th", "ask", "line", "s1", "s2", "n", "parity", "parity2", *_SKETCH, "prefix", "wide"])
 
     return run
 
@@ -737,9 +765,9 @@ class Join:
         self.rows, self.split, self.whole = rows, split, asked is not None
         kind = rows.schema["id"].dataType.simpleString()
         rows = rows.withColumn("ask", F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(False))
-        self.lines = scratch(rows.mapInArrow(_line_rows(rarity_table(rows, split), split), f"id {kind}, th long, ask boolean, line int, s1 long, s2 long, n int, parity long, parity2 long, {', '.join(f'{c} long' for c in _SKETCH)}, prefix binary"), "lines")
+        self.lines = scratch(rows.mapInArrow(_line_rows(rarity_table(rows, split), split), f"id {kind}, th long, ask boolean, line int, s1 long, s2 long, n int, parity long, parity2 long, {', '.join(f'{c} long' for c in _SKETCH)}, prefix binary, wide binary"), "lines")
         place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("line").alias("line"))
-        each = self.lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("ask").alias("ask"), *[F.first(c).alias(c) for c in ("n", "parity", "parity2", *_SKETCH, "prefix")])
+        each = self.lines.groupBy("s1", "s2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("ask").alias("ask"), *[F.first(c).alias(c) for c in ("n", "parity", "parity2", *_SKETCH, "prefix", "wide")])
         order = [F.col(f"first.{c}") for c in ("none", "id", "th", "line")]
         self.classes = scratch(each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()), "line-classes")
         wide, self.lines = self.lines, scratch(self.lines.select("id", "th", "ask", "line", "s1", "s2"), "lines")
@@ -864,11 +892,12 @@ class Join:
         """The pairs whose sketches leave a match possible, as a scratch table: fewer to verify."""
         pairs = scratch(pairs.select("x", "y"), "line-pairs")
         classes, _ = self.among(pairs.select("x").union(pairs.select("y")))
-        mine = lambda to: classes.select(F.col("rank").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in ("n", *_SKETCH)])
+        mine = lambda to: classes.select(F.col("rank").alias(to), *[F.col(c).alias(f"{to}_{c}") for c in ("n", *_SKETCH, "wide")])
         both = F.col("x_n") + F.col("y_n")
         need = F.ceil(F.lit(NUM) * both / (NUM + DEN))
         fits = functools.reduce(operator.add, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH]) <= both - 2 * need
-        out = scratch(skew_join(pairs, mine("y"), ["y"]).join(mine("x"), "x").filter(fits).select("x", "y"), "line-likely")
+        found = skew_join(pairs, mine("y"), ["y"]).join(mine("x"), "x").filter(fits).select("x", "y", "x_n", "y_n", "x_wide", "y_wide")
+        out = scratch(found.mapInArrow(_wide_fits, "x long, y long"), "line-likely")
         discard(pairs)
         return out
 

@@ -193,3 +193,19 @@ def test_query_counts_every_link(spark, tmp_path, make, monkeypatch):
         got = queries.op8_lines(spark, str(tmp_path)).collect()
         assert {r.doc_id: r.removed_lines for r in got} == gone
         assert {r.doc_id: r.n_links for r in got} == want
+
+
+def test_long_sets_are_told_apart_before_they_are_verified(spark, make):
+    """Long lines that share a rare word are no likely pairs; long near copies are."""
+    long = [(i, " ".join([f"rare{i // 2}", *[f"l{i}x{k}" for k in range(900 + 100 * (i % 2))]])) for i in range(12)]
+    base = [f"b{k}" for k in range(1000)]
+    near = [(100, " ".join(base)), (101, " ".join(base[90:] + [f"n{k}" for k in range(60)])), (102, " ".join(base[:850])), (103, " ".join(base[:700]))]
+    join = linededup.Join(linededup._rows(make(long + near), "doc_id", "text"), partial(linededup.tokenize, least=1))
+    name = {r["rank"]: r["first"].id for r in join.classes.collect()}
+    every = [(x, y) for x in name for y in name if y < x]
+    pairs = spark.createDataFrame(every, "x long, y long")
+    likely = {(name[r.x], name[r.y]) for r in join.likely(pairs).collect()}
+    sets = {i: tokens(t) for i, t in long + near}
+    want = {(name[x], name[y]) for x, y in every if 5 * len(sets[name[x]] & sets[name[y]]) >= 4 * len(sets[name[x]] | sets[name[y]])}
+    assert {(101, 100), (102, 100)} <= want <= likely
+    assert not [p for p in likely if p[0] < 100 or p[1] < 100]
