@@ -370,6 +370,8 @@ def _index_rows(buckets: int, hot: dict[int, int], wanted: np.ndarray | None, la
             if wanted is not None:
                 keep = _has(wanted, run_of.astype(np.uint64))
                 run_of, of, k = run_of[keep], of[keep], k[keep]
+                if not len(run_of):
+                    continue
             col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("rank", "parity", "parity2", "n", "ask", "quiet", *("label", "floor") * labelled)}
             at, runs = _blocks_of(run_of, col["rank"][of], hot)
             rows = np.empty(len(at), kind)

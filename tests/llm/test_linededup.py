@@ -175,6 +175,22 @@ def test_candidates_grow_with_the_lines(spark, make):
     assert counts[1][0] < 2.5 * counts[0][0] < 2.5 * 200 * 10
 
 
+def test_a_task_whose_rows_are_in_no_wanted_run():
+    """It gives no index rows, alone or beside a batch that has some."""
+    import numpy as np
+    import pyarrow as pa
+
+    def batch(run):
+        one = {"rank": [1], "parity": [2], "parity2": [3], "n": [9], "ask": [False], "quiet": [False], "prefix": [np.array([run], "<u4").tobytes()]}
+        return pa.RecordBatch.from_pydict(one)
+
+    wanted = np.zeros((1 << linededup.RUN_BITS) // 64, np.uint64)
+    wanted[0] = 1 << 5
+    rows = lambda *runs: [np.frombuffer(x, linededup.ROW) for b in linededup._index_rows(4, {}, wanted, False)(map(batch, runs)) for x in b.column("rows").to_pylist()]
+    assert rows(6) == [] and rows(6, 7) == []
+    assert [r["run"].tolist() for r in rows(6, 5, 7)] == [[5]]
+
+
 def test_query_counts_every_link(spark, tmp_path, make, monkeypatch):
     """The query's links are those of a brute force over all lines; a group dealt out in blocks, long and hot runs give the same."""
     from quillsieve.llm import queries
