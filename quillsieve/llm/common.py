@@ -160,18 +160,20 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     return big.join(right.hint("merge"), on, how).drop("__salt", "__salt_r", *[f"__k_{k}" for k in keys])
 
 
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 32, counts: DataFrame | None = None) -> DataFrame:
     """Inner equi-join of ``big`` with ``small``, which has one row per key and no null keys.
 
-    Keys are counted first.  Those with over one in ``HOT_KEYS`` of all rows,
+    Keys are counted first, unless ``counts`` has how many rows ``n`` of ``big`` each key of ``small`` has.  Those with over one in ``HOT_KEYS`` of all rows,
     fewer than ``HOT_KEYS`` by that, are dealt out by salts, their
     rows of ``small`` repeated for each; the others meet by key alone.
     """
-    total, most = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
     bound = max(HOT_ROWS, (total or 0) // HOT_KEYS)
     if (most or 0) <= bound:
         return big.join(small, keys)
-    hot = scratch(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select(*keys), "hot-keys")
+    hot = scratch(counts.filter(F.col("n") > bound).select(*keys), "hot-keys")
     cold = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
     warm = big.join(F.broadcast(hot), keys, "left_semi").withColumn("__salt", salt)

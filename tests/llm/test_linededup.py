@@ -225,3 +225,34 @@ def test_long_sets_are_told_apart_before_they_are_verified(spark, make):
     want = {(name[x], name[y]) for x, y in every if 5 * len(sets[name[x]] & sets[name[y]]) >= 4 * len(sets[name[x]] | sets[name[y]])}
     assert {(101, 100), (102, 100)} <= want <= likely
     assert not [p for p in likely if p[0] < 100 or p[1] < 100]
+
+
+def test_query_keeps_no_more_of_a_line_than_it_compares(spark, tmp_path, make, monkeypatch):
+    """Counted links need no sketches; token sets are made of the lines in question alone; groups compared together stay apart."""
+    from quillsieve.llm import queries
+
+    rows = fixture(7) + [(1000 + i, t) for i, t in near_copies(20)] + [(3000, None), (3001, "\n\n"), (3002, "own words\nnone of the others")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    tables = {}
+    keep = linededup.scratch
+    monkeypatch.setattr(linededup, "scratch", lambda df, name, *a: tables.setdefault(name, df.columns) and keep(df, name, *a))
+    got = []
+    for n in (1, 5, 128):
+        monkeypatch.setattr(linededup, "TOGETHER", n)
+        got.append(sorted((r.doc_id, r.n_lines, r.n_links, r.removed_lines) for r in queries.op8_lines(spark, str(tmp_path)).collect()))
+    assert got[0] == got[1] == got[2]
+    assert {i: n for i, n, *_ in got[0]} == {i: len((t or "").split("\n")) for i, t in rows}
+    assert {i: r for i, *_, r in got[0]} == {i: ",".join(map(str, sorted(x))) for i, x in brute_all(rows).items()}
+    assert not {"p0", "wide"} & {*tables["lines"], *tables["line-classes"]}
+
+
+def test_lines_at_named_places():
+    import numpy as np
+
+    texts, doc = [b"a b\nc\n\nd", b"", b"e\nf g"], np.array([5, -7, 1 << 62])
+    for want, own, line in ((b"c", 5, 1), (b"d", 5, 3), (b"", -7, 0), (b"f g", 1 << 62, 1)):
+        places = np.zeros((1 << linededup.SIEVE_BITS) // 64, np.uint64)
+        slot = (own ^ line * linededup._STEP) & ((1 << linededup.SIEVE_BITS) - 1)
+        places[slot >> 6] = np.uint64(1 << (slot & 63))
+        assert linededup._lines_at(places, texts, doc) == [want]
+    assert linededup._lines_at(places, [], doc[:0]) == []
